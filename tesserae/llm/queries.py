@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.near import NearDuplicates, near_duplicates
 from tesserae.llm.splitting import split_items
 from tesserae.llm.tokens import encode_texts
 from tesserae.tables import current_table, table
@@ -37,6 +38,20 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("kind", "id", "piece", "p.start", "p.cut", "p.overlap", "p.text")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    files = current_table(spark, sf_dir, "raw_files", "content").withColumn("kind", F.lit("file"))
+    sections = current_table(spark, sf_dir, "section_index", "content").withColumn("kind", F.lit("section"))
+    return near_duplicates(files.unionByName(sections), F.col("kind"), F.col("id"), F.col("content"), 0.7, 3)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).pairs().select("kind", "id_a", "id_b")
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).classes()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return encode_texts(documents, F.col("doc_id"), F.col("text")).select(F.col("key").alias("doc_id"), "ids")
@@ -53,5 +68,21 @@ FROM (SELECT id, content FROM {name} QUALIFY row_number() OVER (PARTITION BY id
 WHERE length(content) > {limit}"""
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
-SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200)}
+_NEAR_SQL = """WITH items AS (
+  SELECT 'file' AS kind, id, content FROM raw_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1
+  UNION ALL SELECT 'section', id, content FROM section_index QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1),
+w AS (SELECT kind, id, list_transform(regexp_extract_all(content, '[\\p{L}\\p{N}_]+'), lambda x: lower(x)) AS w FROM items),
+grams AS (SELECT DISTINCT kind, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT kind, id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+sizes AS (SELECT kind, id, count(*) AS n FROM grams GROUP BY ALL),
+rare AS (SELECT kind, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+kept AS (SELECT kind, id, g FROM grams JOIN rare USING (kind, g)),
+able AS (SELECT kind, id, count(*) AS m FROM kept GROUP BY ALL),
+alive AS (SELECT k.kind, k.id, k.g, s.n FROM kept k JOIN able USING (kind, id) JOIN sizes s USING (kind, id) WHERE m >= 0.7 * n - 1e-9),
+common AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, count(*) AS c
+  FROM alive a JOIN alive b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id
+    AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
+SELECT kind, id_a, id_b FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9"""
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids}
+SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL}
