@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.near import NearDuplicates, near_duplicates
+from tesserae.llm.spans import SharedSpans, shared_spans
 from tesserae.llm.splitting import split_items
 from tesserae.llm.tokens import encode_texts
 from tesserae.tables import current_table, table
@@ -57,6 +58,27 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(documents, F.col("doc_id"), F.col("text")).select(F.col("key").alias("doc_id"), "ids")
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> SharedSpans:
+    return shared_spans(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), 200)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).pairs()
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).spans().select(F.col("doc").alias("doc_id"), "start", "length")
+
+
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, also the null and short ones: its length, how many of its characters are in shared spans,
+    and their share (0 for no characters)."""
+    shared = _spans(spark, sf_dir).spans().groupBy("doc").agg(F.sum("length").alias("shared"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+    rows = documents.join(shared, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "n_chars", F.coalesce("shared", F.lit(0)).alias("shared_chars"))
+    return rows.withColumn("share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(0.0))
+
+
 def _cut_sql(kind: str, name: str, version: str, limit: int) -> str:
     def fits(run: str) -> str:
         return f"list_max(list_transform(string_split_regex(content, '{run}'), lambda x: length(x))) <= {limit}"
@@ -84,5 +106,5 @@ common AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, co
     AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
 SELECT kind, id_a, id_b FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9"""
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids}
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
 SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL}
