@@ -1,8 +1,9 @@
 """Near-duplicate texts by the Jaccard similarity of their word n-gram sets, counted in vertical fragments.
 
 1. Every text becomes a set of 64-bit n-gram hashes. A batch of texts sends each distinct n-gram once to the n-gram's
-   fragment of the hash order, so a common n-gram costs one entry per batch, not one per text. A text is credited for
-   each of its n-grams that any other text has; one whose credit is below threshold x size can have no partner.
+   fragment of the hash order, so a common n-gram costs one entry per batch and size class, not one per text. A text is
+   credited for each of its n-grams that another text of a size in reach has; one whose credit is below threshold x
+   size can have no partner.
 2. Texts with equal sets are one class; only its representative goes on.
 3. The n-grams of what is left are put into one global order, rarest first, and each text shows only the prefix of its
    set that a partner must meet. Pairs that meet there and pass the length and position bounds are candidates.
@@ -29,6 +30,8 @@ from tesserae.session import Scratch
 _WORD = re.compile(r"\w+")
 #: Distinct words whose hashes a worker keeps, and n-grams after which a batch is sent on.
 KEPT_WORDS, BATCH_GRAMS = 1_000_000, 2_000_000
+#: Sizes within a factor of STEP are one size class.
+STEP = 1.1
 
 
 class _WordHashes(dict):
@@ -105,8 +108,8 @@ def near_duplicates(df: DataFrame, kind: Column, key: Column, text: Column, thre
     items = df.select(kind.alias("kind"), key.cast("string").alias("id"), text.alias("text")).where("kind is not null and id is not null and text is not null")
     items = work.put(items.withColumn("doc", F.xxhash64("kind", "id")), "items")
 
-    packed = items.mapInArrow(_pack(width, fragments), "fragment int, docs binary, runs binary, hashes binary, items array<string>, sizes binary, credits binary, signatures binary")
-    credits = packed.groupBy("fragment").applyInArrow(_credit, "doc bigint, credit int, n int, signature bigint, item string")
+    packed = items.mapInArrow(_pack(width, fragments), "fragment int, docs binary, runs binary, classes binary, hashes binary, items array<string>, sizes binary, credits binary, signatures binary")
+    credits = packed.groupBy("fragment").applyInArrow(_credit(threshold), "doc bigint, credit int, n int, signature bigint, item string")
     whole = credits.groupBy("doc").agg(F.sum("credit").alias("credit"), F.max("n").alias("n"), F.max("signature").alias("signature"), F.max("item").alias("item"))
     alive = whole.where(F.col("credit") >= F.lit(threshold) * F.col("n") - 1e-9)
     item = F.split("item", "\u001f", 2)
@@ -127,12 +130,13 @@ def near_duplicates(df: DataFrame, kind: Column, key: Column, text: Column, thre
     shown = ordered.select("doc", "n", F.size("grams").alias("m"), F.posexplode(F.slice("grams", F.lit(1), visible.cast("int"))).alias("pos", "g"))
     shown = shown.select("doc", "n", (F.col("m") - F.col("pos")).alias("left"), F.col("g.gram").alias("gram"))
     other = shown.select(F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), "gram")
-    met = shown.select(F.col("doc").alias("doc_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), "gram").join(other, "gram").where("doc_a < doc_b")
+    alike = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
+    met = shown.select(F.col("doc").alias("doc_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), "gram").join(other, "gram").where("doc_a < doc_b").where(alike)
     needed = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9
     # the first n-gram two sets share bounds their overlap by what is left in each from there on, so the best bound of
     # a pair over the n-grams it meets at holds
     best = met.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.max(F.least("left_a", "left_b")).alias("bound"))
-    candidates = work.put(best.where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9).where(F.col("bound") >= needed), "candidates")
+    candidates = work.put(best.where(F.col("bound") >= needed), "candidates")
 
     # the fragments of the global order: frequencies of equal binary magnitude
     band = lambda g: F.floor(F.log2(g["df"])).cast("int")
@@ -149,8 +153,8 @@ def near_duplicates(df: DataFrame, kind: Column, key: Column, text: Column, thre
 
 
 def _pack(width: int, fragments: int):
-    """Batches of texts to rows of fragments: each distinct n-gram of a batch once, beside its text if it is the only
-    one there (else beside text 0, the texts being credited on the spot); and the texts' own figures."""
+    """Batches of texts to rows of fragments: each distinct n-gram and size class of a batch once, beside its text if it
+    is the only one there (else beside text 0, the texts being credited on the spot); and the texts' own figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, items, sets, signatures, waiting = [], [], [], [], 0
@@ -158,18 +162,21 @@ def _pack(width: int, fragments: int):
         def rows() -> pa.RecordBatch:
             doc = np.array(docs, np.int64)
             sizes = np.array([len(s) for s in sets], np.int32)
-            grams = np.concatenate(sets)
+            size_class = np.minimum(np.log(sizes) / np.log(STEP), 255).astype(np.uint8)
             owner = np.repeat(np.arange(len(doc)), sizes)
+            grams = (np.concatenate(sets) << np.uint64(8)) | size_class[owner]
             order = np.argsort(grams, kind="stable")
             grams, owner = grams[order], owner[order]
             first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
             many = np.diff(np.r_[first, len(grams)]) > 1
             repeated = np.repeat(many, np.diff(np.r_[first, len(grams)]))
             credit = np.bincount(owner[repeated], minlength=len(doc)).astype(np.int32)
-            grams, whose = grams[first], np.where(many, -1, owner[first])
-            fragment = ((grams >> np.uint64(32)) % np.uint64(fragments)).astype(np.int64)
+            grams = grams[first]
+            classes = (grams & np.uint64(255)).astype(np.int64)
+            whose = np.where(many, -1 - classes, owner[first])
+            fragment = ((grams >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
             order = np.lexsort((whose, fragment))
-            grams, whose, fragment = grams[order].astype(np.uint32), whose[order], fragment[order]
+            grams, whose, classes, fragment = (grams[order] >> np.uint64(8)).astype(np.uint32), whose[order], classes[order].astype(np.uint8), fragment[order]
             home = (doc.view(np.uint64) % np.uint64(fragments)).astype(np.int64)
             by_home = np.argsort(home, kind="stable")
             out = []
@@ -178,14 +185,14 @@ def _pack(width: int, fragments: int):
                 own = whose[a:b]
                 start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if b > a else np.empty(0, np.int64)
                 runs = np.diff(np.r_[start, b - a]).astype(np.int32) if b > a else np.empty(0, np.int32)
-                keys = np.where(own[start] < 0, 0, doc[own[start]]) if b > a else np.empty(0, np.int64)
-                out.append((int(f), keys.tobytes(), runs.tobytes(), grams[a:b].tobytes(), None, None, None, None))
+                keys = np.where(own[start] < 0, 0, doc[np.maximum(own[start], 0)]) if b > a else np.empty(0, np.int64)
+                out.append((int(f), keys.tobytes(), runs.tobytes(), classes[a:b][start].tobytes(), grams[a:b].tobytes(), None, None, None, None))
                 c, d = np.searchsorted(home[by_home], (f, f + 1))
                 if d > c:
                     at = by_home[c:d]
-                    out.append((int(f), doc[at].tobytes(), None, None, [items[i] for i in at], sizes[at].tobytes(), credit[at].tobytes(), np.array([signatures[i] for i in at], np.int64).tobytes()))
-            names = ["fragment", "docs", "runs", "hashes", "items", "sizes", "credits", "signatures"]
-            types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+                    out.append((int(f), doc[at].tobytes(), None, None, None, [items[i] for i in at], sizes[at].tobytes(), credit[at].tobytes(), np.array([signatures[i] for i in at], np.int64).tobytes()))
+            names = ["fragment", "docs", "runs", "classes", "hashes", "items", "sizes", "credits", "signatures"]
+            types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
         for batch in batches:
@@ -206,38 +213,45 @@ def _pack(width: int, fragments: int):
     return run
 
 
-def _credit(rows: pa.Table) -> pa.Table:
-    """Of one fragment: texts and the number of their n-grams that another batch has too; and the figures sent along."""
-    docs, grams, own = [], [], {"doc": [], "credit": [], "n": [], "signature": [], "item": []}
-    for row in rows.to_pylist():
-        keys = np.frombuffer(row["docs"], np.int64)
-        if row["items"] is None:
-            docs.append(np.repeat(keys, np.frombuffer(row["runs"], np.int32)))
-            grams.append(np.frombuffer(row["hashes"], np.uint32))
-        else:
-            own["doc"].append(keys)
-            own["credit"].append(np.frombuffer(row["credits"], np.int32))
-            own["n"].append(np.frombuffer(row["sizes"], np.int32))
-            own["signature"].append(np.frombuffer(row["signatures"], np.int64))
-            own["item"] += row["items"]
-    doc, gram = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((docs, np.int64), (grams, np.uint32)))
-    order = np.argsort(gram, kind="stable")
-    gram, doc = gram[order], doc[order]
-    same = gram[1:] == gram[:-1]
-    shared = np.r_[False, same] | np.r_[same, False] if len(gram) else np.empty(0, bool)
-    keys, counts = np.unique(doc[shared & (doc != 0)], return_counts=True)
-    n = len(keys)
-    ints = [np.concatenate(own[c]) if own[c] else np.empty(0, np.int64) for c in ("doc", "credit", "n", "signature")]
-    nulls = [None] * n
-    return pa.table(
-        {
-            "doc": pa.array(np.r_[keys, ints[0]], pa.int64()),
-            "credit": pa.array(np.r_[counts, ints[1]], pa.int32()),
-            "n": pa.concat_arrays([pa.array(nulls, pa.int32()), pa.array(ints[2], pa.int32())]),
-            "signature": pa.concat_arrays([pa.array(nulls, pa.int64()), pa.array(ints[3], pa.int64())]),
-            "item": pa.array(nulls + own["item"], pa.string()),
-        }
-    )
+def _credit(threshold: float):
+    """Of one fragment: texts and the number of their n-grams that another batch has too, in a text of a size in reach;
+    and the figures sent along."""
+    reach = np.uint64(int(np.log(1 / threshold) / np.log(STEP)) + 1)
+
+    def run(rows: pa.Table) -> pa.Table:
+        docs, grams, own = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], {"doc": [], "credit": [], "n": [], "signature": []}
+        items: list[str] = []
+        for row in rows.to_pylist():
+            keys = np.frombuffer(row["docs"], np.int64)
+            if row["items"] is None:
+                runs = np.frombuffer(row["runs"], np.int32)
+                docs.append(np.repeat(keys, runs))
+                grams.append((np.frombuffer(row["hashes"], np.uint32).astype(np.uint64) << np.uint64(8)) | np.repeat(np.frombuffer(row["classes"], np.uint8), runs))
+            else:
+                own["doc"].append(keys)
+                own["credit"].append(np.frombuffer(row["credits"], np.int32))
+                own["n"].append(np.frombuffer(row["sizes"], np.int32))
+                own["signature"].append(np.frombuffer(row["signatures"], np.int64))
+                items += row["items"]
+        doc, gram = np.concatenate(docs), np.concatenate(grams)
+        order = np.argsort(gram, kind="stable")
+        gram, doc = gram[order], doc[order]
+        near = ((gram[1:] >> np.uint64(8)) == (gram[:-1] >> np.uint64(8))) & (gram[1:] - gram[:-1] <= reach)
+        shared = np.r_[False, near] | np.r_[near, False] if len(gram) else np.empty(0, bool)
+        keys, counts = np.unique(doc[shared & (doc != 0)], return_counts=True)
+        nulls = [None] * len(keys)
+        ints = {c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in own.items()}
+        return pa.table(
+            {
+                "doc": pa.array(np.r_[keys, ints["doc"]], pa.int64()),
+                "credit": pa.array(np.r_[counts, ints["credit"]], pa.int32()),
+                "n": pa.concat_arrays([pa.array(nulls, pa.int32()), pa.array(ints["n"], pa.int32())]),
+                "signature": pa.concat_arrays([pa.array(nulls, pa.int64()), pa.array(ints["signature"], pa.int64())]),
+                "item": pa.array(nulls + items, pa.string()),
+            }
+        )
+
+    return run
 
 
 def _grams(width: int):
