@@ -11,6 +11,7 @@ from tesserae.llm.near import NearDuplicates, near_duplicates
 from tesserae.llm.spans import SharedSpans, shared_spans
 from tesserae.llm.splitting import split_items
 from tesserae.llm.tokens import encode_texts
+from tesserae.llm.vectors import similar_vectors
 from tesserae.tables import current_table, table
 
 #: Fixed values of the problem statement: limit and overlap in characters, by kind.
@@ -39,6 +40,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("kind", "id", "piece", "p.start", "p.cut", "p.overlap", "p.text")
 
 
+#: The vector column of each kind's table.
+VECTORS = {"chunk": ("chunks", "vector"), "section": ("section_index", "summary_vector"), "symbol": ("symbol_index", "summary_vector")}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [current_table(spark, sf_dir, name, column).select(F.lit(kind).alias("kind"), "id", F.col(column).alias("vector")) for kind, (name, column) in VECTORS.items()]
+    found = similar_vectors(reduce(DataFrame.unionByName, parts), F.col("kind"), F.col("id"), F.col("vector"), k=10, floor=0.85, dims=64)
+    return found.select("kind", "id", "neighbor_id")
+
+
 def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     files = current_table(spark, sf_dir, "raw_files", "content").withColumn("kind", F.lit("file"))
     sections = current_table(spark, sf_dir, "section_index", "content").withColumn("kind", F.lit("section"))
@@ -106,5 +117,5 @@ common AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, co
     AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
 SELECT kind, id_a, id_b FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9"""
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
 SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL}
