@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.mixing import mix_sources
 from tesserae.llm.near import NearDuplicates, near_duplicates
 from tesserae.llm.spans import SharedSpans, shared_spans
 from tesserae.llm.splitting import split_items
-from tesserae.llm.tokens import encode_texts
+from tesserae.llm.tokens import count_tokens, encode_texts
 from tesserae.llm.vectors import similar_vectors
-from tesserae.tables import current_table, table
+from tesserae.tables import bare, current_table, table
 
 #: Fixed values of the problem statement: limit and overlap in characters, by kind.
 SPLIT = {"file": ("raw_files", 5000, 200), "section": ("section_index", 1200, 120)}
@@ -69,6 +70,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(documents, F.col("doc_id"), F.col("text")).select(F.col("key").alias("doc_id"), "ids")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = count_tokens(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("source"))
+    targets = table(spark, sf_dir, "mix_targets").withColumn("source", bare("source"))
+    return mix_sources(counted, F.col("key"), bare("source"), F.col("n_tokens"), targets)
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> SharedSpans:
     return shared_spans(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), 200)
 
@@ -117,5 +132,5 @@ common AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, co
     AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
 SELECT kind, id_a, id_b FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9"""
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
 SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL}
