@@ -61,14 +61,24 @@ def flight(tokens: list[int], chance: list[float], rng: random.Random) -> None:
             active = left
 
 
-def land(tokens: list[int], chance: list[float]) -> None:
-    """Decides the last texts: of all ways the one whose tokens, then number, are nearest to what is wanted."""
+def land(tokens: list[int], chance: list[float], repairs: int = 3) -> None:
+    """Decides the last texts: of all ways the one whose tokens, then number, are nearest to what is wanted. A last text
+    may be very long; what the total is then off by is made up for by turning at most ``repairs`` decided texts."""
     left = [i for i, p in enumerate(chance) if _EDGE < p < 1 - _EDGE]
     wanted, number = sum(tokens[i] * chance[i] for i in left), sum(chance[i] for i in left)
     ways = [[i for b, i in enumerate(left) if way >> b & 1] for way in range(1 << len(left))]
     taken = min(ways, key=lambda w: (abs(sum(tokens[i] for i in w) - wanted), abs(len(w) - number), w))
     for i in left:
         chance[i] = float(i in taken)
+    over = sum(tokens[i] for i in taken) - wanted
+    free = [i for i in range(len(tokens)) if i not in left]
+    for _ in range(repairs):
+        turn = min((i for i in free if (chance[i] == 1) == (over > 0)), key=lambda i: (abs(tokens[i] - abs(over)), i), default=None)
+        if turn is None or abs(tokens[turn] - abs(over)) >= abs(over):
+            break
+        over += tokens[turn] if chance[turn] == 0 else -tokens[turn]
+        chance[turn] = 1 - chance[turn]
+        free.remove(turn)
 
 
 def _fly(last: bool, seed: int):
