@@ -11,9 +11,10 @@ from tesserae.llm.mixing import mix_sources
 from tesserae.llm.near import NearDuplicates, near_duplicates
 from tesserae.llm.spans import SharedSpans, shared_spans
 from tesserae.llm.splitting import split_items
+from tesserae.llm.syntax import FREE, check_files
 from tesserae.llm.tokens import count_tokens, encode_texts
 from tesserae.llm.vectors import similar_vectors
-from tesserae.tables import bare, current_table, table
+from tesserae.tables import VERSION_COLUMN, bare, current, current_table, table
 
 #: Fixed values of the problem statement: limit and overlap in characters, by kind.
 SPLIT = {"file": ("raw_files", 5000, 200), "section": ("section_index", 1200, 120)}
@@ -24,8 +25,6 @@ def _split(spark: SparkSession, sf_dir: str, long_only: bool) -> DataFrame:
     for kind, (name, limit, overlap) in SPLIT.items():
         items = current_table(spark, sf_dir, name, "content")
         if long_only:  # the current row is chosen first; only its content, if over the limit, goes through the shuffle
-            from tesserae.tables import VERSION_COLUMN, current
-
             slim = table(spark, sf_dir, name).select("id", F.when(F.length("content") > limit, F.col("content")).alias("content"), VERSION_COLUMN[name])
             items = current(slim, VERSION_COLUMN[name]).where("content is not null")
         parts.append(split_items(items, F.col("id"), F.col("content"), limit, overlap).select(F.lit(kind).alias("kind"), F.col("key").alias("id"), "n_chars", "cut_at", "pieces"))
@@ -41,6 +40,33 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("kind", "id", "piece", "p.start", "p.cut", "p.overlap", "p.text")
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current files with language, repository and what the parse says. Contents that need no parse don't travel."""
+    files = table(spark, sf_dir, "raw_files")
+    named = F.regexp_replace(bare("file_type"), r"^\.?(?=.)", ".")
+    by_path = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    kind = F.coalesce(F.nullif(named, F.lit("")), by_path)
+    languages = table(spark, sf_dir, "languages").select(bare("file_type").alias("kind"), "language").distinct()
+    version = VERSION_COLUMN["raw_files"]
+    typed = files.select("id", "path", "content", version, kind.alias("kind")).join(languages, "kind", "left")
+    slim = typed.select("id", "language", F.when(F.col("language").isin(*FREE) & F.col("content").isNotNull(), "").otherwise(F.col("content")).alias("content"), F.split("path", "/")[0].alias("repository"), version)
+    return check_files(current(slim, version), F.col("id"), F.col("language"), F.col("content"), F.col("repository"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).where("valid = false").select(F.col("key").alias("id"))
+
+
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).withColumnRenamed("key", "id")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = _checked(spark, sf_dir).where("valid is not null")
+    rates = judged.groupBy("repository", "language").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    return rates.withColumn("rate", F.round(F.col("n_invalid") / F.col("n_files"), 6))
+
+
 #: The vector column of each kind's table.
 VECTORS = {"chunk": ("chunks", "vector"), "section": ("section_index", "summary_vector"), "symbol": ("symbol_index", "summary_vector")}
 
@@ -132,5 +158,5 @@ common AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, co
     AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
 SELECT kind, id_a, id_b FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9"""
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
+QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
 SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL}
