@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import structure
+from tesserae.plans import relational, structure
 
-MODULES = (structure,)
+MODULES = (structure, relational)
 FLAGSHIP = "p1_entity_counts"
 
 
