@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import relational, structure
+from tesserae.plans import relational, retrieval, structure
 
-MODULES = (structure, relational)
-FLAGSHIP = "p1_entity_counts"
+MODULES = (structure, relational, retrieval)
+FLAGSHIP = "retrieve_end_to_end"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
