@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import decisions, relational, retrieval, structure
+from tesserae.plans import decisions, knowledge, relational, retrieval, structure
 
-MODULES = (structure, relational, retrieval, decisions)
+MODULES = (structure, relational, retrieval, decisions, knowledge)
 FLAGSHIP = "retrieve_end_to_end"
 
 
