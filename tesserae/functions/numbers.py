@@ -11,13 +11,14 @@ UNITS = ("percent", "units", "items", "requests", "credits", "hours", "minutes",
 
 def mentions(c: Column) -> Column:
     """array of (value, unit)."""
-    found = F.regexp_extract_all(c, F.lit(r"\b(\d+(?:\.\d+)?) (" + "|".join(UNITS) + r")\b"), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(r"(\d+(?:\.\d+)?) (" + "|".join(UNITS) + ")"), F.lit(0))
     return F.transform(found, lambda m: F.struct(F.split(m, " ")[0].cast("double").alias("value"), F.split(m, " ")[1].alias("unit")))
 
 
 def years(c: Column) -> Column:
-    """The distinct years 1900 to 2099, in order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(?:19|20)\d\d\b"), F.lit(0))))
+    """The distinct years 1900 to 2099 that stand as digits of their own, in order."""
+    runs = F.filter(F.split(c, "[^0-9]+"), lambda x: x.rlike("^(?:19|20)[0-9][0-9]$"))
+    return F.array_sort(F.array_distinct(runs))
 
 
 def significant(c: Column) -> Column:

@@ -29,7 +29,7 @@ def ranked(df: DataFrame, score: str, *by: str, key: str = "id", k: int | None =
 
 def _block(df: DataFrame) -> tuple[list, np.ndarray]:
     rows = df.collect()
-    x = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+    x = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.empty((0, 0))
     return [r["qid"] for r in rows], x
 
 

@@ -91,7 +91,7 @@ def governor_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per key: number, distinct sources, and mean, extremes, deviations and spread of the scores."""
     v = F.col("value")
-    rows = _events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("n_sources"), F.round(F.avg(v), 4).alias("mean"), F.max(v).alias("high"), F.min(v).alias("low"), F.round(F.stddev_pop(v), 4).alias("deviation"))
+    rows = _events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("n_sources"), F.round(F.avg(v), 8).alias("mean"), F.max(v).alias("high"), F.min(v).alias("low"), F.round(F.stddev_pop(v), 6).alias("deviation"))
     return rows.withColumn("spread", F.round(F.col("high") - F.col("low"), 6))
 
 
@@ -124,5 +124,5 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
     "json_payload_filter": "SELECT event_type, count(*) AS n, round(avg((props->>'$.k')::INT), 6) AS avg_k FROM events WHERE (props->>'$.k')::INT >= 50 AND (props->>'$.k')::INT < 90 GROUP BY 1",
     "governor_decision": """WITH s AS (SELECT user_id, bool_or(event_type = 'error') AS abstain, bool_or(event_type = 'click' AND value > 100) AS disputed, bool_or(event_type = 'view') AS qualified, max(value) AS top FROM events GROUP BY 1)
 SELECT CASE WHEN abstain AND top > 150 THEN 'abstain' WHEN disputed AND NOT (qualified AND top < 130) THEN 'disputed' ELSE 'trustworthy' END AS mode, count(*) AS n FROM s GROUP BY 1""",
-    "score_features": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS n_sources, round(avg(value), 4) AS mean, max(value) AS high, min(value) AS low, round(stddev_pop(value), 4) AS deviation, round(max(value) - min(value), 6) AS spread FROM events GROUP BY 1",
+    "score_features": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS n_sources, round(avg(value), 8) AS mean, max(value) AS high, min(value) AS low, round(stddev_pop(value), 6) AS deviation, round(max(value) - min(value), 6) AS spread FROM events GROUP BY 1",
 }

@@ -129,7 +129,7 @@ def year_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: length statistics and densities of digits and hedging words."""
     t = F.col("text")
-    hedges = F.size(F.regexp_extract_all(F.lower(t), F.lit(r"\b(?:may|might|could|unless|meanwhile)\b"), F.lit(0)))
+    hedges = F.size(F.regexp_extract_all(F.lower(t), F.lit(r"(?:may|might|could|unless|meanwhile) "), F.lit(0)))
     rows = table(spark, sf_dir, "documents").where("text is not null").select(F.lower(F.trim("source")).alias("source"), F.length(t).alias("n"), F.length(F.regexp_replace(t, "[^0-9]", "")).alias("digits"), hedges.alias("hedges"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("n"), 4).alias("mean_chars"), F.max("n").alias("max_chars"), F.sum("digits").alias("digits"), F.sum("hedges").alias("hedges"))
 
@@ -148,7 +148,7 @@ QUERIES = {
 
 _F = "fi AS (SELECT * FROM raw_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 _S = "se AS (SELECT * FROM section_index QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1)"
-_M = rf"""m AS (SELECT doc_id, split_part(x, ' ', 1)::DOUBLE AS value, split_part(x, ' ', 2) AS unit FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(\d+(?:\.\d+)?) ({"|".join(numbers.UNITS)})\b')) AS x FROM documents))"""
+_M = rf"""m AS (SELECT doc_id, split_part(x, ' ', 1)::DOUBLE AS value, split_part(x, ' ', 2) AS unit FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(\d+(?:\.\d+)?) ({"|".join(numbers.UNITS)})')) AS x FROM documents))"""
 _STRIP = r"regexp_replace({}, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
 
 
@@ -186,9 +186,9 @@ SELECT a.id, arg_max(b.id, (b.pos, b.id)) AS parent FROM r a LEFT JOIN r b ON a.
     "numeric_mentions": f"WITH {_M} SELECT unit, count(*) AS n, count(DISTINCT doc_id) AS n_docs, max(value) AS high, min(value) AS low FROM m GROUP BY 1",
     "numeric_divergence": f"""WITH {_M}, d AS (SELECT DISTINCT doc_id, unit, value FROM m WHERE value > 0), r AS (SELECT doc_id, unit, value / lag(value) OVER (PARTITION BY doc_id, unit ORDER BY value) AS ratio FROM d)
 SELECT doc_id, unit, count(*) AS n, round(max(ratio), 6) AS ratio FROM r WHERE ratio > 1.02::DOUBLE AND ratio < 2 GROUP BY ALL""",
-    "year_features": r"WITH y AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b(?:19|20)\d\d\b'))) AS y FROM documents) SELECT doc_id, len(y)::INT AS n_years, y[1] AS first, y[-1] AS last FROM y WHERE len(y) > 0",
+    "year_features": r"WITH y AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(text, '[^0-9]+'), lambda x: regexp_matches(x, '^(?:19|20)[0-9][0-9]$')))) AS y FROM documents) SELECT doc_id, len(y)::INT AS n_years, y[1] AS first, y[-1] AS last FROM y WHERE len(y) > 0",
     "evidence_text_features": r"""SELECT lower(trim(source)) AS source, count(*) AS docs, round(avg(length(text)), 4) AS mean_chars, max(length(text)) AS max_chars, sum(length(regexp_replace(text, '[^0-9]', '', 'g')))::BIGINT AS digits,
-  sum(len(regexp_extract_all(lower(text), '\b(?:may|might|could|unless|meanwhile)\b')))::BIGINT AS hedges FROM documents WHERE text IS NOT NULL GROUP BY 1""",
+  sum(len(regexp_extract_all(lower(text), '(?:may|might|could|unless|meanwhile) ')))::BIGINT AS hedges FROM documents WHERE text IS NOT NULL GROUP BY 1""",
     "markdown_table_render": """SELECT 1 AS line, '| n_nationkey | n_name | n_regionkey |' AS text UNION ALL SELECT 2, '| --- | --- | --- |'
 UNION ALL SELECT (row_number() OVER (ORDER BY n_nationkey) + 2)::INT, '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 15)""",
 }

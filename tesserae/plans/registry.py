@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import decisions, ingestion, knowledge, relational, retrieval, structure
+from tesserae.plans import decisions, dialect, ingestion, knowledge, language, relational, retrieval, structure
 
-MODULES = (structure, relational, retrieval, decisions, knowledge, ingestion)
+MODULES = (structure, relational, retrieval, decisions, knowledge, ingestion, dialect, language)
 FLAGSHIP = "retrieve_end_to_end"
 
 
