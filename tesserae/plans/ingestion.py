@@ -28,24 +28,25 @@ def value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current files against the oldest known state of each; ids that begin with f are not known, and those that
-    begin with 0 are no longer there."""
+    """The current files against what is known of them: the oldest state of each file that symbols or sections refer to;
+    a file they refer to that is not there any more is deleted."""
     rows = table(spark, sf_dir, "raw_files").select("id", "content_hash", "file_type", "updated_at")
     w = Window.partitionBy("id").orderBy("updated_at")
-    known = rows.withColumn("r", F.row_number().over(w)).where("r = 1 and id not like 'f%'")
-    now = current_table(spark, sf_dir, "raw_files", "content_hash", "file_type").where("id not like '0%'")
-    return ingest.diff(now, known, "id", "content_hash", "file_type")
+    oldest = rows.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "content_hash", "file_type")
+    referred = table(spark, sf_dir, "section_index").select("raw_file_id").unionByName(table(spark, sf_dir, "symbol_index").select("raw_file_id"))
+    known = referred.where("raw_file_id is not null").distinct().select(F.col("raw_file_id").alias("id")).join(oldest, "id", "left")
+    return ingest.diff(current_table(spark, sf_dir, "raw_files", "content_hash", "file_type"), known, "id", "content_hash", "file_type")
 
 
 def upsert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = current_table(spark, sf_dir, "raw_files", "content_hash", "size_bytes")
-    arrived = stored.where("id like 'a%'").select(F.when(F.col("size_bytes") % 2 == 0, F.concat(F.lit("new-"), "id")).otherwise(F.col("id")).alias("id"), F.lit("x").alias("content_hash"), F.lit(1).alias("size_bytes"))
+    arrived = stored.where("size_bytes > 1500").select(F.when(F.col("size_bytes") % 2 == 0, F.concat(F.lit("new-"), "id")).otherwise(F.col("id")).alias("id"), F.lit("x").alias("content_hash"), F.lit(1).alias("size_bytes"))
     return ingest.upsert(stored, arrived, "id")
 
 
 def incremental_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_row_num"), "c_name")
-    extra = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("_row_num"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("C_NAME"), "c_acctbal")
+    extra = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("_row_num"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("C_NAME"), "c_acctbal")
     return ingest.add_columns(rows, extra)
 
 
@@ -166,12 +167,12 @@ SQL = {
     "scan_schema_profile": _profile_sql(dict.fromkeys(("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "")),
     "value_types": """WITH v AS (SELECT props->>'$.k' AS v FROM events UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders)
 SELECT CASE WHEN v IN ('0', '1') THEN 'boolean' WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN 'number' WHEN regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}') THEN 'date' WHEN v IS NOT NULL THEN 'string' END AS type, count(*) AS n FROM v GROUP BY 1""".replace("\\\\", "\\"),
-    "diff_ingest": f"""WITH {_F}, a AS (SELECT id, content_hash, file_type FROM fi WHERE id NOT LIKE '0%'),
-b AS (SELECT id, content_hash, file_type FROM raw_files WHERE id NOT LIKE 'f%' QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1)
+    "diff_ingest": f"""WITH {_F}, a AS (SELECT id, content_hash, file_type FROM fi), o AS (SELECT id, content_hash, file_type FROM raw_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at) = 1),
+b AS (SELECT r.raw_file_id AS id, content_hash, file_type FROM (SELECT raw_file_id FROM section_index UNION SELECT raw_file_id FROM symbol_index) r LEFT JOIN o ON r.raw_file_id = o.id WHERE r.raw_file_id IS NOT NULL)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'deleted' WHEN a.content_hash IS DISTINCT FROM b.content_hash OR a.file_type IS DISTINCT FROM b.file_type THEN 'changed' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.id = b.id""",
-    "upsert_files": f"""WITH {_F}, n AS (SELECT CASE WHEN size_bytes % 2 = 0 THEN 'new-' || id ELSE id END AS id FROM fi WHERE id LIKE 'a%')
+    "upsert_files": f"""WITH {_F}, n AS (SELECT CASE WHEN size_bytes % 2 = 0 THEN 'new-' || id ELSE id END AS id FROM fi WHERE size_bytes > 1500)
 SELECT id, content_hash, size_bytes FROM fi WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, 'x', 1 FROM n""",
-    "incremental_columns": """SELECT a.c_custkey AS _row_num, a.c_name, nullif(CASE WHEN b.c_mktsegment = 'BUILDING' THEN '' ELSE b.c_mktsegment END, '') AS "C_NAME_1", b.c_acctbal::VARCHAR AS c_acctbal FROM customer a LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) b ON a.c_custkey = b.c_custkey""",
+    "incremental_columns": """SELECT a.c_custkey AS _row_num, a.c_name, nullif(CASE WHEN b.c_mktsegment = 'BUILDING' THEN '' ELSE b.c_mktsegment END, '') AS "C_NAME_1", b.c_acctbal::VARCHAR AS c_acctbal FROM customer a LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) b ON a.c_custkey = b.c_custkey""",
     "row_numbers": "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS _row_num FROM part",
     "safe_names": f"""WITH {_S}, t AS (SELECT title, regexp_replace(title, '[^a-zA-Z0-9]', '_', 'g') AS s FROM se WHERE title IS NOT NULL)
 SELECT DISTINCT lower('tbl_' || left(CASE WHEN regexp_matches(s, '^[0-9]') THEN 't_' || s ELSE s END, 55)) AS table_name, lower(CASE WHEN title = '' THEN 'col' WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END) AS column_name FROM t""",

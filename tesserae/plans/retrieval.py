@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import STOPWORDS, jaccard, normalize, tokens, words
-from tesserae.operators import search
+from tesserae.operators import evidence, search
 from tesserae.tables import current_table, table
 
 #: The stated query set of the lexical and fused searches.
@@ -41,7 +41,7 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = table(spark, sf_dir, "embeddings").where("label % 2 = 1").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    data = table(spark, sf_dir, "embeddings").where("label >= 5").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return search.knn(data, _hundredths(spark, sf_dir), 3)
 
 
@@ -172,6 +172,20 @@ def knn_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(found, "score", "qid", k=10)
 
 
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.knn(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 10, floor=0.3)
+    texts = _sections(spark, sf_dir, "raw_file_id")
+    return evidence.features(hits.join(texts.select("id", F.col("raw_file_id").alias("source")), "id"), texts.select("id", "text"), _texts(spark))
+
+
+def evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir)
+
+
+def insufficient_evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.sufficiency(_evidence(spark, sf_dir))
+
+
 def title_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = current_table(spark, sf_dir, "section_index", "title").select(normalize(F.col("title")).alias("title"))
     return titles.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
@@ -187,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_batch, knn_filtered, knn_floor, centroid_assign, concept_max_similarity, lexical_tf_saturation, lexical_bm25_or, lexical_bm25_and, phrase_search, websearch_bool, hybrid_rrf_union,
-        hybrid_rrf_outer, hybrid_score_fusion, hyde_merge, keyword_boost, recency_boost, dedup_first_wins, file_diversity, context_budget, retrieve_end_to_end, ir_metrics, title_normalization, summary_overlap,
+        hybrid_rrf_outer, hybrid_score_fusion, hyde_merge, keyword_boost, recency_boost, dedup_first_wins, file_diversity, context_budget, retrieve_end_to_end, ir_metrics, evidence_features, insufficient_evidence_rules, title_normalization, summary_overlap,
     )
 }
 
@@ -223,9 +237,15 @@ _KEYED = f"""{_FACTS}, kb AS (SELECT * EXCLUDE (base), row_number() OVER (PARTIT
   FROM f JOIN (SELECT qid, list(term) AS terms FROM qt GROUP BY qid) USING (qid)))"""
 _EMB = f"SELECT q.vec_id AS qid, e.vec_id AS id, {_COS.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"
 
+_WORDS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z]{{{{3,}}}}'), lambda x: NOT list_contains({list(STOPWORDS)}, x)))"
+_EVIDENCE = f"""{_CUR}, {_dense(10, extra=' WHERE score >= 0.3')}, qw AS (SELECT qid, {_WORDS.format('text')} AS w FROM (VALUES {_VALUES}) v(qid, text)),
+h AS (SELECT dn.*, raw_file_id, list_intersect(w, {_WORDS.format('content')}) AS met FROM dn JOIN cur USING (id) JOIN qw USING (qid)),
+st AS (SELECT qid, count(*) AS n, count(DISTINCT raw_file_id) AS n_sources, max(score) AS high, round(avg(score), 6) AS mean, min(score) AS low, round(stddev_pop(score), 6) AS deviation, len(list_distinct(flatten(list(met)))) AS m FROM h GROUP BY qid),
+ev AS (SELECT qid, coalesce(n, 0) AS n, coalesce(n_sources, 0) AS n_sources, high, mean, low, deviation, round(high - low, 6) AS spread, round(coalesce(m, 0)::DOUBLE / len(w), 6) AS overlap FROM qw LEFT JOIN st USING (qid))"""
+
 SQL = {
     "knn_batch": f"SELECT qid, id, score, {_RANKED} AS rank FROM ({_EMB}) QUALIFY {_RANKED} <= 5",
-    "knn_filtered": f"SELECT qid, id, score, {_RANKED} AS rank FROM ({_EMB} WHERE e.label % 2 = 1) QUALIFY {_RANKED} <= 3",
+    "knn_filtered": f"SELECT qid, id, score, {_RANKED} AS rank FROM ({_EMB} WHERE e.label >= 5) QUALIFY {_RANKED} <= 3",
     "knn_floor": f"WITH {_CUR}, {_dense(10, extra=' WHERE score >= 0.3')} SELECT * FROM dn",
     "centroid_assign": f"""WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY label)
 SELECT vec_id, label, score FROM (SELECT e.vec_id, c.label, {_COS.format(a='e.embedding', b='c.v')} AS score FROM embeddings e, c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) = 1""",
@@ -270,6 +290,8 @@ s AS (SELECT qid, sum(hit / log2(rank + 1)) AS dcg, sum(hit) AS found, sum(hit *
 t AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid)
 SELECT qid, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg, round(coalesce(found::DOUBLE / n, 0), 6) AS recall, round(coalesce(ps / least(n, 10), 0), 6) AS average_precision,
   round(coalesce(1::DOUBLE / first, 0), 6) AS reciprocal_rank, round(coalesce(found::DOUBLE / 10, 0), 6) AS precision FROM t LEFT JOIN s USING (qid)""",
+    "evidence_features": f"WITH {_EVIDENCE} SELECT * FROM ev",
+    "insufficient_evidence_rules": f"WITH {_EVIDENCE} SELECT qid, CASE WHEN n = 0 OR high < 0.45 THEN 'abstain' WHEN high < 0.7 AND overlap = 0 THEN 'qualified' ELSE 'sufficient' END AS verdict FROM ev",
     "title_normalization": rf"WITH {_CUR} SELECT trim(regexp_replace(lower(title), '[\s_-]+', ' ', 'g')) AS title, count(*) AS n FROM cur GROUP BY 1",
     "summary_overlap": f"""WITH {_CUR}, w AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]{{3,}}'), lambda x: NOT list_contains({list(STOPWORDS)}, x))) AS a,
   list_distinct(list_filter(regexp_extract_all(lower(summary), '[a-z]{{3,}}'), lambda x: NOT list_contains({list(STOPWORDS)}, x))) AS b FROM cur WHERE summary IS NOT NULL)
