@@ -6,9 +6,10 @@ a block inside it, at the same place of the run. Blocks that occur in one text o
 text is factored against the other occurrences: the copy is extended to both sides, across block boundaries, up to the
 span length, and is a shared span if it reaches that length. Factors that touch or overlap are joined.
 
-Blocks that occur often are not compared pair by pair: there every run of the full length around the block is a bucket
-of its own, and the texts of a bucket share that run. Buckets with the same set of texts count once. Texts that are
-equal as a whole are one class from the start and are spread to its members at the end.
+Blocks that occur often are not compared pair by pair: there occurrences with the same surroundings are one context,
+every run of the full length over the block is a bucket of contexts, and their texts share that run. Buckets with the
+same contexts count once. Texts that are equal as a whole are one class from the start and are spread to its members at
+the end.
 """
 
 from __future__ import annotations
@@ -154,18 +155,25 @@ def shared_spans(df: DataFrame, key: Column, text: Column, span: int = 200) -> S
     few = around.where(F.col("times") <= PAIRWISE).groupBy("hash").agg(F.collect_list(F.struct("doc", "place", "lead", "around")).alias("at"))
     factors = work.put(few.mapInArrow(_factor(span, block), "doc_a bigint, start_a int, doc_b bigint, start_b int, length int"), "factors")
 
-    runs = around.where(F.col("times") > PAIRWISE).select("doc", "place", "lead", "around").mapInArrow(_runs(span, block), "one bigint, two bigint, doc bigint, start int")
-    runs = work.put(runs, "runs")
-    texts = runs.select("one", "two", "doc").distinct()
-    by_run = texts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("n > 1")
+    # occurrences of a frequent block with the same surroundings are one context, which has each of its runs once
+    often = around.where(F.col("times") > PAIRWISE).withColumns({"c": F.xxhash64("lead", "around"), "d": F.xxhash64("lead", "around", F.lit(1))})
+    contexts = often.groupBy("c", "d").agg(F.first("lead").alias("lead"), F.first("around").alias("around"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    held = work.put(often.select("c", "d", "doc", "place"), "held")
+    runs = work.put(contexts.mapInArrow(_runs(span, block), "one bigint, two bigint, c bigint, d bigint, low bigint, high bigint, shift int"), "runs")
+    of_run = runs.select("one", "two", "c", "d", "low", "high").distinct()
+    by_run = of_run.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor(F.xxhash64("c", "d")).alias("x"), F.bit_xor(F.xxhash64("d", "c")).alias("y")).where("low < high")
     by_run = work.put(by_run, "buckets")
     once = by_run.groupBy("n", "low", "high", "x", "y").agg(F.min(F.struct("one", "two")).alias("run")).select("run.one", "run.two")
-    of_set = texts.join(once, ["one", "two"])
-    common = of_set.select("one", "two", F.col("doc").alias("doc_a")).join(of_set.select("one", "two", F.col("doc").alias("doc_b")), ["one", "two"]).where("doc_a < doc_b")
+    texts = of_run.join(once, ["one", "two"]).join(held.select("c", "d", "doc").distinct(), ["c", "d"]).select("one", "two", "doc").distinct()
+    common = texts.select("one", "two", F.col("doc").alias("doc_a")).join(texts.select("one", "two", F.col("doc").alias("doc_b")), ["one", "two"]).where("doc_a < doc_b")
     links = factors.select("doc_a", "doc_b").unionByName(common.select("doc_a", "doc_b")).distinct()
     ends = F.explode(F.array(F.struct(F.col("doc_a").alias("doc"), F.col("start_a").alias("start")), F.struct(F.col("doc_b").alias("doc"), F.col("start_b").alias("start"))))
     near = factors.select("length", ends.alias("e")).select("e.doc", "e.start", (F.col("e.start") + F.col("length")).alias("stop"))
-    hot = runs.join(by_run.select("one", "two"), ["one", "two"], "left_semi").select("doc", "start", (F.col("start") + span).alias("stop"))
+    # shared runs one after the other are one interval of their context
+    shared = runs.join(by_run.select("one", "two"), ["one", "two"], "left_semi").select("c", "d", "shift").distinct()
+    w = Window.partitionBy("c", "d").orderBy("shift")
+    islands = shared.withColumn("island", F.col("shift") - F.row_number().over(w)).groupBy("c", "d", "island").agg(F.min("shift").alias("first"), F.max("shift").alias("last"))
+    hot = held.join(islands, ["c", "d"]).select("doc", (F.col("place") + F.col("first")).alias("start"), (F.col("place") + F.col("last") + span).alias("stop"))
     return SharedSpans(members, links, near.unionByName(hot))
 
 
@@ -231,18 +239,19 @@ def _factor(span: int, block: int):
 
 
 def _runs(span: int, block: int):
-    """Every run of the span length over a block, by a 128-bit hash."""
+    """Every run of the span length over the block of a context, by a 128-bit hash, and where it begins beside the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ones, twos, docs, starts = [], [], [], []
-            for doc, place, lead, text in zip(*(c.to_pylist() for c in batch.columns)):
+            ones, twos, rows, shifts = [], [], [], []
+            for row, (lead, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 for begin in range(max(0, lead + block - span), min(lead, len(text) - span) + 1):
                     h = xxhash.xxh3_128_intdigest(text[begin : begin + span])
                     ones.append((h >> 64) - (1 << 63))
                     twos.append((h & ((1 << 64) - 1)) - (1 << 63))
-                    docs.append(doc)
-                    starts.append(place - lead + begin)
-            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], ["one", "two", "doc", "start"])
+                    rows.append(row)
+                    shifts.append(begin - lead)
+            own = [batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1, 4, 5)]
+            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), *own, pa.array(shifts, pa.int32())], ["one", "two", "c", "d", "low", "high", "shift"])
 
     return run
