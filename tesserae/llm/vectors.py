@@ -30,7 +30,7 @@ FIT_ROWS, CODE_ROWS, LIST_ROWS = 24_000, 6_000, 256
 #: At least so many fitting rows for each centroid: bounds the centroids by FIT_ROWS / 8.
 ROWS_PER_CENTROID = 8
 #: Lists a vector goes to, its home included.
-LISTS = 3
+LISTS = 4
 #: Weight of the error along the vector against that across it, from the published rule (d - 1) t^2 / (1 - t^2).
 ALIGNED_SCORE = 0.2
 
