@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,12 +62,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def put_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """Write, read back, and give the number of rows, all in one job."""
+    def put_counted(self, df: DataFrame, name: str, where: Column | None = None) -> tuple[DataFrame, int]:
+        """Write, read back, and give the number of rows, or of those that meet ``where``, all in one job."""
         from pyspark.sql import Observation
 
         seen = Observation()
-        back = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        back = self.put(df.observe(seen, (F.count(F.lit(1)) if where is None else F.count_if(where)).alias("n")), name)
         return back, int(seen.get["n"])
 
     def drop(self, name: str) -> None:
