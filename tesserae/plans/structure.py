@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators.heavy_keys import distinct_counts, distinct_sets
-from tesserae.operators.hierarchy import descendants, hierarchy
+from tesserae.operators.hierarchy import cycle_descendants, descendants, hierarchy
 from tesserae.session import Scratch
 from tesserae.tables import bare, current_table, squeeze, table
 
@@ -46,7 +46,9 @@ def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendants(_tree(spark, sf_dir, True))
+    """All ancestors of every section, also of those on or below a cycle."""
+    tree = _tree(spark, sf_dir, True)
+    return descendants(tree).unionByName(cycle_descendants(tree))
 
 
 #: A class of whitespace characters as RE2 writes it.
