@@ -40,7 +40,7 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies of all terms of all documents: the inverted index's dictionary, counted before its shuffle."""
     from tesserae.functions.text import tokens
 
-    terms = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tokens(F.regexp_replace("text", r"[^\x20-\x7e\n\t]+", " ")))).alias("term"))
+    terms = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
