@@ -2,17 +2,68 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The units that make a number a mention.
 UNITS = ("percent", "units", "items", "requests", "credits", "hours", "minutes", "seconds", "days", "pages", "tonnes", "litres")
 
+_NUM = r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?)"
+#: Fixed values: (pattern of value and unit, kind of unit), and after them the plain words of UNITS, percent being in the first.
+_FORMS = tuple(
+    (re.compile(form, re.IGNORECASE), kind)
+    for form, kind in (
+        (rf"{_NUM}\s*(%|percent|percentage)", "%"),
+        (rf"{_NUM}\s*(GB|MB|KB|TB)", "bytes"),
+        (rf"{_NUM}\s*(m/s|km/h|mph|ft/s)", "measurement"),
+        (rf"{_NUM}\s*(million|mil)\b", "million"),
+        (rf"{_NUM}\s*(billion|bil)\b", "billion"),
+        (rf"{_NUM}\s*(thousand)\b", "thousand"),
+        (rf"{_NUM}\s+(M)\b", "million"),
+        (rf"{_NUM}\s+(B)\b", "billion"),
+        (rf"{_NUM}\s+(K)\b", "thousand"),
+        (rf"\$\s*{_NUM}\s*(million|bil|billion|M|B|K|thousand)?", "currency"),
+        (rf"{_NUM}\s*(USD|EUR|dollars?|euros?)", "currency"),
+        (rf"{_NUM}\s*(meters?|km|miles?|kg|lbs?|°[CF]|degrees?)", "measurement"),
+        (rf"{_NUM}\s*({'|'.join(UNITS[1:])})", "word"),
+    )
+)
+#: Names of measurements by the lower-case unit without its last s; others are "measurement".
+_MEASURES = {"meter": "meters", "m/": "meters", "km/h": "speed", "mph": "speed", "km": "km", "mile": "miles", "kg": "kg", "lb": "lbs", "°c": "°c", "°f": "°f", "degree": "degree"}
+_UP = re.compile(r"\b(increased?|rises?|rising|grew|grown|growth|gains?|gained|up|higher|more|improved?|boost|jumped?|surged?|climbed?|expanded?)\b")
+_DOWN = re.compile(r"\b(decreased?|declines?|declining|drops?|dropped|fell|fallen|fall|down|lower|less|reduced?|reduction|lost|losses?|shrunk|contracted?|slipped?)\b")
+#: Characters before and after a mention in which its direction is looked for.
+_AROUND = 50
+
+
+def _unit(raw: str | None, kind: str) -> str:
+    if kind == "measurement":
+        return _MEASURES.get(raw.lower().rstrip("s"), kind)
+    return raw.lower() if kind == "word" else kind
+
+
+def _mentions(text: str | None) -> list[tuple] | None:
+    if text is None:
+        return None
+    out = []
+    for form, kind in _FORMS:
+        for m in form.finditer(text):
+            near = text[max(0, m.start() - _AROUND) : m.end() + _AROUND].lower()
+            direction = "increase" if _UP.search(near) else "decrease" if _DOWN.search(near) else None
+            out.append((float(m[1].replace(",", "")), _unit(m[2], kind), direction, m.start(), m.end()))
+    return out
+
 
 def mentions(c: Column) -> Column:
-    """array of (value, unit)."""
-    found = F.regexp_extract_all(c, F.lit(r"(\d+(?:\.\d+)?) (" + "|".join(UNITS) + ")"), F.lit(0))
-    return F.transform(found, lambda m: F.struct(F.split(m, " ")[0].cast("double").alias("value"), F.split(m, " ")[1].alias("unit")))
+    """array of (value, unit, direction, start, stop): numbers with thousands groups before a unit or behind a $.
+
+    direction is increase, decrease or null by the words around; start and stop count characters from 0. Multipliers
+    are units of their own: the value of "$2 million" is 2.
+    """
+    kind = "array<struct<value: double, unit: string, direction: string, start: int, stop: int>>"
+    return F.udf(_mentions, kind, useArrow=True)(c)
 
 
 def years(c: Column) -> Column:
