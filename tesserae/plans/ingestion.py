@@ -115,10 +115,11 @@ def numeric_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document and unit the largest ratio of two values next to each other in order, of those between 1.02 and 2."""
+    """Per document and unit the number and the largest ratio of all pairs of distinct values whose ratio is between 1.02 and 2."""
     rows = _documents(spark, sf_dir).select("doc_id", F.explode(numbers.mentions(F.col("text"))).alias("m")).select("doc_id", "m.unit", "m.value").where("value > 0").distinct()
-    before = F.lag("value").over(Window.partitionBy("doc_id", "unit").orderBy("value"))
-    ratios = rows.withColumn("ratio", F.col("value") / before).where("ratio > 1.02D and ratio < 2.0D")
+    values = rows.groupBy("doc_id", "unit").agg(F.collect_list("value").alias("values"))
+    pairs = F.flatten(F.transform("values", lambda a: F.filter(F.transform("values", lambda b: a / b), lambda r: (r > 1.02) & (r < 2.0))))
+    ratios = values.select("doc_id", "unit", F.explode(pairs).alias("ratio"))
     return ratios.groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("ratio"), 6).alias("ratio"))
 
 
