@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -38,21 +39,31 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Scratch folders not yet released.
+_open: list[Scratch] = []
+
+
 class Scratch:
     """Tables written to the folder that all executors share.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, one machine) a temporary
-    folder is made. Written tables cut the lineage: a lost executor costs a re-read, never a recomputation of an
-    iterative plan. Everything is removed when the Python process ends, or earlier by ``drop``.
+    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and all runs on one machine (a local
+    master, as in tests) a temporary folder is made; on a cluster an unset folder is an error, for executors do not see
+    each other's disks. Written tables cut the lineage: a lost executor costs a re-read, never a recomputation of an
+    iterative plan. ``drop`` removes a table that no later plan reads, ``release`` the whole folder; what is left goes
+    when the Python process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.conf.get("spark.master", "")
+            if not re.fullmatch(r"local(\[[^]]*\])?", master):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
             base = tempfile.mkdtemp(prefix="tesserae-")
         self.root = f"{base.rstrip('/')}/tesserae-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_delete, spark, self.root)
+        _open.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -72,3 +83,12 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         _delete(self.spark, self.path(name))
+
+    def release(self) -> None:
+        _delete(self.spark, self.root)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Remove every scratch folder of this process, once the results that read them have been written."""
+    while _open:
+        _open.pop().release()
