@@ -158,5 +158,24 @@ common AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, co
     AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
 SELECT kind, id_a, id_b FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9"""
 
+#: Every run of 200 characters that two documents have, with its places.
+_RUNS_SQL = """WITH texts AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE length(text) >= 200 GROUP BY doc_id),
+windows AS (SELECT doc_id, i, substr(text, i, 200) AS run FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM texts)),
+common AS (SELECT run FROM windows GROUP BY run HAVING min(doc_id) < max(doc_id)),
+places AS (SELECT doc_id, i, run FROM windows JOIN common USING (run))"""
+
+_PAIRS_SQL = f"""{_RUNS_SQL}, held AS (SELECT DISTINCT run, doc_id FROM places)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM held a JOIN held b ON a.run = b.run AND a.doc_id < b.doc_id"""
+
+_SPANS_SQL = f"""{_RUNS_SQL},
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 200 THEN 0 ELSE 1 END AS opens FROM places WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+islands AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked)
+SELECT doc_id, min(i) - 1 AS start, max(i) - min(i) + 200 AS length FROM islands GROUP BY doc_id, island"""
+
+_COVERAGE_SQL = f"""WITH spans AS ({_SPANS_SQL}), shared AS (SELECT doc_id, sum(length) AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(n, 0) AS shared_chars,
+  CASE WHEN length(d.text) > 0 THEN round(coalesce(n, 0) / length(d.text), 6) ELSE 0 END AS share
+FROM documents d LEFT JOIN shared s ON d.doc_id = s.doc_id"""
+
 QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
-SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL}
+SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL, "p9_found": _PAIRS_SQL, "p9_spans": _SPANS_SQL, "p9_coverage": _COVERAGE_SQL}

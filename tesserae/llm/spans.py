@@ -1,15 +1,22 @@
-"""Long spans shared verbatim between texts, by factoring every text against indexed reference blocks.
-
-Reference blocks are runs of half the span length, chosen by content: of every window of positions the one whose block
-has the smallest hash. Any run of the full span length holds a window, so wherever two texts share such a run both have
-a block inside it, at the same place of the run. Blocks that occur in one text only are dropped. At each other block a
-text is factored against the other occurrences: the copy is extended to both sides, across block boundaries, up to the
-span length, and is a shared span if it reaches that length. Factors that touch or overlap are joined.
-
-Blocks that occur often are not compared pair by pair: there occurrences with the same surroundings are one context,
-every run of the full length over the block is a bucket of contexts, and their texts share that run. Buckets with the
-same contexts count once. Texts that are equal as a whole are one class from the start and are spread to its members at
-the end.
+"""Long spans shared verbatim between texts, by a parse of every text relative to indexed reference blocks.
+
+1. Index. Reference blocks are runs of half the span length, chosen by content: of every window of positions the one
+   whose block has the smallest hash. Any run of the full span length is a window, so wherever two texts share such a
+   run both have a block inside it, at the same place of the run. Kept are blocks of two texts at least; the reference
+   of a block is its first place: the smallest (text, place).
+2. Parse. Each text is factored left to right. At a block that the index knows the copy of its reference is followed
+   from block to block, as far as every text that has the block goes on alike (the stretch from a block to its next is
+   compared by hash). The factor is that longest common copy: (start, length, reference text, place there), and the
+   next one begins where it ends. A factor of the span length is a shared span of all texts that have it.
+3. Factor boundaries. Where texts with the same block go on differently, to the left or to the right, a factor ends; a
+   shared run may lie across. There the characters around the block are compared: every run of the span length over
+   the block is a key, first in coarse steps (a shorter run that several of them contain), then, for coarse keys that
+   two texts have, one by one.
+
+That is all: a shared run of the span length holds a block of both texts. If one of the blocks in it is a boundary, its
+keys meet; if none is, both texts go on alike up to blocks that are not wholly in the run, so the run lies in a common
+factor. Texts that share a factor or key are its members, and pairs are made from members only when asked for. Texts
+that are equal as a whole are one class from the start.
 """
 
 from __future__ import annotations
@@ -19,19 +26,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.session import Scratch
 
-#: Occurrences up to which those of a block are compared with each other; both ways give the same rows.
-PAIRWISE = 32
 #: Characters hashed at once; longer texts are taken in overlapping slices.
 SLICE = 4_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Coarse keys of a boundary block.
+COARSE = 4
+#: Multipliers of the two independent hashes.
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,37 +46,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(12, int(n - 1).bit_length())
-    if size not in _powers:
+    if (size, which) not in _powers:
         if len(_powers) > 8:
             _powers.clear()
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+        base = _BASES[which]
+        up, down = np.full(size, base, np.uint64), np.full(size, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
         up[0] = down[0] = 1
-        _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    up, down = _powers[size]
+        _powers[size, which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    up, down = _powers[size, which]
     return up[:n], down[:n]
 
 
-def block_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``width`` characters; equal runs have equal hashes."""
-    up, down = _power_tables(len(codes))
-    prefix = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_mix(codes.astype(np.uint64) + _BASE) * up, out=prefix[1:])
-    return _mix((prefix[width:] - prefix[:-width]) * down[: len(codes) - width + 1])
+class RunHashes:
+    """64-bit hashes of any runs of a text's characters; equal runs have equal hashes."""
 
+    def __init__(self, codes: np.ndarray, which: int = 0) -> None:
+        up, self.down = _power_tables(len(codes) + 1, which)
+        self.prefix = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_mix(codes.astype(np.uint64) + _BASES[which]) * up[:-1], out=self.prefix[1:])
 
-def choose_blocks(text: str, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the reference blocks of one text: of each window the block with the smallest upper hash
-    bits, the rightmost of ties. The choice depends on the window's characters only."""
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return _mix((self.prefix[stop] - self.prefix[start]) * self.down[start] + (stop - start).astype(np.uint64))
+
+    def all(self, width: int) -> np.ndarray:
+        n = len(self.prefix) - width
+        return _mix((self.prefix[width:] - self.prefix[:-width]) * self.down[:n] + np.uint64(width))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def choose_blocks(text: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text the places and hashes of its reference blocks, and hashes of how the text goes on from each to the
+    block before and after it (the stretch over both; 0 where there is none).
+
+    Of each window the block with the smallest upper hash bits is chosen, the rightmost of ties: the choice depends on
+    the window's characters only. Blocks that follow each other are a window apart at most.
+    """
     block = span // 2
     window = span - block + 1
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _codes(text)
     if len(codes) < span:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), *(np.empty(0, np.uint64) for _ in range(3))
     places, hashes = [], []
     for at in range(0, len(codes) - span + 1, SLICE):
-        h = block_hashes(codes[at : at + SLICE + span - 1], block)
+        h = RunHashes(codes[at : at + SLICE + span - 1]).all(block)
         n = len(h)
         ranked = (h & ~np.uint64(0xFFFFFF)) | (np.uint64(0xFFFFFF) - np.arange(n, dtype=np.uint64))
         padded = np.full(-(-n // window) * window, np.iinfo(np.uint64).max, np.uint64)
@@ -83,36 +106,38 @@ def choose_blocks(text: str, span: int) -> tuple[np.ndarray, np.ndarray]:
         places.append(where + at)
         hashes.append(h[where])
     place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
-
-
-def _extend(a: str, b: str) -> int:
-    """Length of the common beginning."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, high = 0, n
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle)
-    return low
+    hashed = np.concatenate(hashes)[first]
+    links = np.zeros(max(0, len(place) - 1), np.uint64)
+    for at in range(0, len(codes), SLICE):
+        own = np.flatnonzero((place[:-1] >= at) & (place[:-1] < at + SLICE))
+        if len(own):
+            runs = RunHashes(codes[at : at + SLICE + window + block], 1)
+            links[own] = runs.of(place[own] - at, place[own + 1] + block - at)
+    before, after = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+    before[1:], after[:-1] = _mix(links ^ hashed[:-1]) | np.uint64(1), _mix(links ^ hashed[1:]) | np.uint64(1)
+    return place, hashed, before, after
 
 
 @dataclass
 class SharedSpans:
     """``members``: (doc, class_id, n_chars), every text of at least the span length; a class is texts equal as a whole.
-    ``links``: (doc_a, doc_b), classes that share a span. ``intervals``: (doc, start, stop), the shared parts of each
-    class, as pieces that may overlap. ``long_texts`` of null, empty or short texts hold nothing."""
+    ``factors``: (doc, start, length, ref_doc, ref_start), the parse of each class: its factors of the span length.
+    ``shared``: (how, one, two, doc), the classes that have one factor or boundary run in common; runs with the same
+    classes are given once. ``intervals``: (doc, start, stop), the shared parts of each class, as pieces that may
+    overlap. Null, empty and short texts are nowhere."""
 
     members: DataFrame
-    links: DataFrame
+    factors: DataFrame
+    shared: DataFrame
     intervals: DataFrame
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b: all pairs of texts that share a span, those of one class included."""
-        m = self.members
+        m, run = self.members, ["how", "one", "two"]
+        left, right = self.shared.withColumnRenamed("doc", "doc_a"), self.shared.withColumnRenamed("doc", "doc_b")
+        links = left.join(right, run).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
         a, b = m.select(F.col("doc").alias("x"), F.col("class_id").alias("doc_a")), m.select(F.col("doc").alias("y"), F.col("class_id").alias("doc_b"))
-        across = self.links.join(a, "doc_a").join(b, "doc_b").select("x", "y")
+        across = links.join(a, "doc_a").join(b, "doc_b").select("x", "y")
         within = a.join(b, F.col("doc_a") == F.col("doc_b")).where("x < y").select("x", "y")
         return across.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
@@ -137,49 +162,78 @@ def shared_spans(df: DataFrame, key: Column, text: Column, span: int = 200) -> S
     """
     if span < 4:
         raise ValueError("a span has at least 4 characters")
-    spark = df.sparkSession
-    work = Scratch(spark, "spans")
-    block = span // 2
+    work = Scratch(df.sparkSession, "spans")
     rows = df.select(key.cast("bigint").alias("doc"), text.alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= span))
-    marked = rows.withColumns({"n_chars": F.length("text"), "one": F.xxhash64("text"), "two": F.xxhash64("text", F.lit(1))})
-    blocks = marked.mapInArrow(_choose(span), "doc bigint, n_chars int, one bigint, two bigint, places array<int>, hashes array<bigint>")
-    blocks = work.put(blocks, "blocks")
-    classes = blocks.groupBy("one", "two", "n_chars").agg(F.min("doc").alias("class_id"))
-    members = work.put(blocks.join(classes, ["one", "two", "n_chars"]).select("doc", "class_id", "n_chars").distinct(), "members")
-    chosen = blocks.join(members.where("doc = class_id").select("doc"), "doc", "left_semi")
-    placed = chosen.select("doc", F.explode(F.arrays_zip("places", "hashes")).alias("b")).select("doc", F.col("b.places").alias("place"), F.col("b.hashes").alias("hash"))
-    often = placed.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("times")).where("low < high").select("hash", "times")
-    repeated = placed.join(often, "hash").groupBy("doc").agg(F.collect_list(F.struct("place", "hash", "times")).alias("at"))
-    around = work.put(repeated.join(rows, "doc").select("doc", "at", "text").mapInArrow(_around(span), "hash bigint, doc bigint, place int, lead int, around string, times bigint"), "around")
-
-    few = around.where(F.col("times") <= PAIRWISE).groupBy("hash").agg(F.collect_list(F.struct("doc", "place", "lead", "around")).alias("at"))
-    factors = work.put(few.mapInArrow(_factor(span, block), "doc_a bigint, start_a int, doc_b bigint, start_b int, length int"), "factors")
-
-    # occurrences of a frequent block with the same surroundings are one context, which has each of its runs once
-    often = around.where(F.col("times") > PAIRWISE).withColumns({"c": F.xxhash64("lead", "around"), "d": F.xxhash64("lead", "around", F.lit(1))})
-    contexts = often.groupBy("c", "d").agg(F.first("lead").alias("lead"), F.first("around").alias("around"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    held = work.put(often.select("c", "d", "doc", "place"), "held")
-    runs = work.put(contexts.mapInArrow(_runs(span, block), "one bigint, two bigint, c bigint, d bigint, low bigint, high bigint, shift int"), "runs")
-    of_run = runs.select("one", "two", "c", "d", "low", "high").distinct()
-    by_run = of_run.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor(F.xxhash64("c", "d")).alias("x"), F.bit_xor(F.xxhash64("d", "c")).alias("y")).where("low < high")
-    by_run = work.put(by_run, "buckets")
+    blocks, members = _index(work, rows, span)
+    parsed = _parse(work, blocks, members, span)
+    factors = parsed.select("doc", F.explode("factors").alias("f")).select("doc", "f.*")
+    contexts, held = _boundaries(work, parsed, rows, span)
+    runs = _runs_in_common(work, contexts, span)
+
+    # texts of one factor or run; of those with the same texts one is enough
+    by_run = runs.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor(F.xxhash64("c", "d")).alias("x"), F.bit_xor(F.xxhash64("d", "c")).alias("y"))
     once = by_run.groupBy("n", "low", "high", "x", "y").agg(F.min(F.struct("one", "two")).alias("run")).select("run.one", "run.two")
-    texts = of_run.join(once, ["one", "two"]).join(held.select("c", "d", "doc").distinct(), ["c", "d"]).select("one", "two", "doc").distinct()
-    common = texts.select("one", "two", F.col("doc").alias("doc_a")).join(texts.select("one", "two", F.col("doc").alias("doc_b")), ["one", "two"]).where("doc_a < doc_b")
-    links = factors.select("doc_a", "doc_b").unionByName(common.select("doc_a", "doc_b")).distinct()
-    ends = F.explode(F.array(F.struct(F.col("doc_a").alias("doc"), F.col("start_a").alias("start")), F.struct(F.col("doc_b").alias("doc"), F.col("start_b").alias("start"))))
-    near = factors.select("length", ends.alias("e")).select("e.doc", "e.start", (F.col("e.start") + F.col("length")).alias("stop"))
+    of_runs = runs.select("one", "two", "c", "d").join(once, ["one", "two"]).join(held.select("c", "d", "doc").distinct(), ["c", "d"])
+    of_factors = factors.select(F.lit("factor").alias("how"), F.col("ref_doc").alias("one"), F.col("ref_start").cast("bigint").alias("two"), "doc")
+    texts = work.put(of_factors.unionByName(of_runs.select(F.lit("run").alias("how"), "one", "two", "doc")).distinct(), "texts")
+    sets = texts.groupBy("how", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    distinct = sets.where("low < high").groupBy("n", "low", "high", "x", "y").agg(F.min(F.struct("how", "one", "two")).alias("run")).select("run.*")
+    shared = texts.join(distinct, ["how", "one", "two"])
+
     # shared runs one after the other are one interval of their context
-    shared = runs.join(by_run.select("one", "two"), ["one", "two"], "left_semi").select("c", "d", "shift").distinct()
     w = Window.partitionBy("c", "d").orderBy("shift")
-    islands = shared.withColumn("island", F.col("shift") - F.row_number().over(w)).groupBy("c", "d", "island").agg(F.min("shift").alias("first"), F.max("shift").alias("last"))
-    hot = held.join(islands, ["c", "d"]).select("doc", (F.col("place") + F.col("first")).alias("start"), (F.col("place") + F.col("last") + span).alias("stop"))
-    return SharedSpans(members, links, near.unionByName(hot))
+    places = runs.select("c", "d", "shift").distinct()
+    islands = places.withColumn("island", F.col("shift") - F.row_number().over(w)).groupBy("c", "d", "island").agg(F.min("shift").alias("first"), F.max("shift").alias("last"))
+    across = held.join(islands, ["c", "d"]).select("doc", (F.col("place") + F.col("first")).alias("start"), (F.col("place") + F.col("last") + span).alias("stop"))
+    inside = factors.select("doc", "start", (F.col("start") + F.col("length")).alias("stop"))
+    return SharedSpans(members, factors, shared, inside.unionByName(across))
+
+
+def _index(work: Scratch, rows: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Every text's blocks, and the classes of equal texts."""
+    marked = rows.withColumns({"n_chars": F.length("text"), "one": F.xxhash64("text"), "two": F.xxhash64("text", F.lit(1))})
+    blocks = work.put(marked.mapInArrow(_choose(span), "doc bigint, n_chars int, one bigint, two bigint, places array<int>, hashes array<bigint>, before array<bigint>, after array<bigint>"), "blocks")
+    classes = blocks.groupBy("one", "two", "n_chars").agg(F.min("doc").alias("class_id"))
+    return blocks, work.put(blocks.join(classes, ["one", "two", "n_chars"]).select("doc", "class_id", "n_chars").distinct(), "members")
+
+
+def _parse(work: Scratch, blocks: DataFrame, members: DataFrame, span: int) -> DataFrame:
+    """(doc, factors, ends) of each class: its long factors and the places of its boundary blocks."""
+    chosen = blocks.join(members.where("doc = class_id").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    placed = chosen.select("doc", F.posexplode(F.arrays_zip("places", "hashes", "before", "after")).alias("i", "b"))
+    placed = placed.select("doc", "i", F.col("b.places").alias("place"), F.col("b.hashes").alias("hash"), "b.before", "b.after")
+    alike = [(F.min(c) == F.max(c)) & (F.min(c) != 0) for c in ("before", "after")]
+    index = placed.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "place")).alias("ref"), (alike[0] & alike[1]).alias("alike"))
+    index = index.where("low < high").select("hash", "alike", "ref")
+    known = placed.select("doc", "i", "place", "hash").join(index, "hash")
+    lined = known.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "place", "alike", F.col("ref.doc").alias("ref_doc"), F.col("ref.place").alias("ref_place")))).alias("at"))
+    return work.put(lined.mapInArrow(_factor(span), "doc bigint, factors array<struct<start:int,length:int,ref_doc:bigint,ref_start:int>>, ends array<int>"), "parsed")
+
+
+def _boundaries(work: Scratch, parsed: DataFrame, rows: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts: the distinct characters around boundary blocks that a run of the span length can cover, with their least
+    and greatest text; and the places that have each."""
+    ends = parsed.where(F.size("ends") > 0).select("doc", "ends")
+    around = ends.join(rows.dropDuplicates(["doc"]), "doc").select("doc", "ends", "text").mapInArrow(_around(span), "doc bigint, place int, lead int, around string")
+    around = work.put(around.withColumns({"c": F.xxhash64("lead", "around"), "d": F.xxhash64("lead", "around", F.lit(1))}), "around")
+    contexts = around.groupBy("c", "d").agg(F.first("lead").alias("lead"), F.first("around").alias("around"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    return work.put(contexts, "contexts"), around.select("c", "d", "doc", "place")
+
+
+def _runs_in_common(work: Scratch, contexts: DataFrame, span: int) -> DataFrame:
+    """(one, two, c, d, low, high, shift): the runs over boundary blocks that two texts have."""
+    two_texts = lambda keys, by: keys.groupBy(*by).agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select(*by)
+    coarse = work.put(contexts.select("c", "d", "lead", "around", "low", "high").mapInArrow(_coarse_keys(span), "c bigint, d bigint, low bigint, high bigint, step int, one bigint, two bigint"), "coarse")
+    by = ["step", "one", "two"]
+    steps = coarse.join(two_texts(coarse, by), by).groupBy("c", "d").agg(F.bit_or(F.expr("shiftleft(1, step)")).cast("int").alias("steps"))
+    fine = contexts.join(steps, ["c", "d"]).select("c", "d", "low", "high", "lead", "around", "steps").mapInArrow(_fine_keys(span), "c bigint, d bigint, low bigint, high bigint, shift int, one bigint, two bigint")
+    fine = work.put(fine, "fine")
+    return work.put(fine.join(two_texts(fine, ["one", "two"]), ["one", "two"]), "runs")
 
 
 def _lists(values: list[np.ndarray], dtype: type) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    flat = np.concatenate(values).astype(dtype) if values else np.empty(0, dtype)
+    flat = np.concatenate(values).astype(dtype, copy=False) if values else np.empty(0, dtype)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
@@ -187,71 +241,117 @@ def _choose(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [choose_blocks(t.as_py(), span) for t in batch.column(1)]
-            places, hashes = [p for p, _ in found], [h.view(np.int64) for _, h in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], _lists(places, np.int32), _lists(hashes, np.int64)], ["doc", "n_chars", "one", "two", "places", "hashes"])
+            columns = [_lists([f[0] for f in found], np.int32), *(_lists([f[i].view(np.int64) for f in found], np.int64) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns], ["doc", "n_chars", "one", "two", "places", "hashes", "before", "after"])
+
+    return run
+
+
+def _factor(span: int):
+    """The parse of texts whose known blocks are given in order: from block to block while all texts go on alike."""
+    block = span // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(np.asarray(lists.offsets))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            i, place, alike, ref_doc, ref_place = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in lists.flatten().flatten())
+            follows = np.r_[False, (owner[1:] == owner[:-1]) & (i[1:] == i[:-1] + 1)] if len(i) else np.empty(0, bool)
+            joined = follows & alike & np.r_[False, alike[:-1]] if len(i) else follows
+            first = np.flatnonzero(alike & ~joined)
+            last = np.flatnonzero(alike & ~np.r_[joined[1:], False]) if len(i) else first
+            # a block where all go on alike has known neighbours in its text: the factor reaches to both
+            start, stop = place[first - 1], place[last + 1] + block if len(last) else last
+            long = stop - start >= span
+            first, start, length = first[long], start[long], (stop - start)[long]
+            per_text = np.bincount(owner[first], minlength=len(sizes)) if len(first) else np.zeros(len(sizes), int)
+            ref_start = ref_place[first] - (place[first] - start)
+            structs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(ref_doc[first], pa.int64()), pa.array(ref_start, pa.int32())], ["start", "length", "ref_doc", "ref_start"])
+            factors = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_text)].astype(np.int32)), structs)
+            parts = ~alike.astype(bool)
+            counts = np.bincount(owner[parts], minlength=len(sizes))
+            ends = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(place[parts], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), factors, ends], ["doc", "factors", "ends"])
 
     return run
 
 
 def _around(span: int):
-    """The characters around each repeated block that a run of the span length over the block can cover."""
+    """The characters around each boundary block that a run of the span length over the block can cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = span - span // 2
         for batch in batches:
             out = []
-            for doc, at, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for b in at:
-                    p = b["place"]
+            for doc, ends, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for p in ends:
                     begin = max(0, p - side)
-                    out.append((b["hash"], doc, p, p - begin, text[begin : p + span], b["times"]))
-            columns = list(zip(*out)) if out else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["hash", "doc", "place", "lead", "around", "times"])
+                    out.append((doc, p, p - begin, text[begin : p + span]))
+            columns = list(zip(*out)) if out else [[]] * 4
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "place", "lead", "around"])
 
     return run
 
 
-def _factor(span: int, block: int):
-    """Copies between the occurrences of one block, extended to both sides, that reach the span length."""
+def _step_bounds(span: int) -> list[tuple[int, int]]:
+    """The first and last number of characters left of the block in the runs of each coarse step."""
+    side = span - span // 2
+    return [(s * side // COARSE, (s + 1) * side // COARSE - (s < COARSE - 1)) for s in range(COARSE)]
+
+
+def _hashed(batch: pa.RecordBatch, lead_column: int) -> tuple[np.ndarray, np.ndarray, list[RunHashes]]:
+    """Where each context's block and end are in the batch's characters put one after the other, and their hashes."""
+    texts = batch.column(lead_column + 1).to_pylist()
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(np.r_[0, sizes[:-1]]) if len(sizes) else sizes
+    codes = _codes("".join(texts))
+    return begin + np.asarray(batch.column(lead_column)), begin + sizes, [RunHashes(codes, w) for w in (0, 1)]
+
+
+def _coarse_keys(span: int):
+    """Of each context, for each step, what all runs of the step have in common; none if the context is too short."""
+    block = span // 2
+    side = span - block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for at in batch.column(1).to_pylist():
-                sides = [(o["doc"], o["place"], o["around"][: o["lead"]][::-1], o["around"][o["lead"] :]) for o in at]
-                for i, (doc, place, left, right) in enumerate(sides):
-                    for other, place_b, left_b, right_b in sides[i + 1 :]:
-                        if doc == other:
-                            continue
-                        ahead = _extend(right, right_b)
-                        if ahead < block:
-                            continue
-                        back = _extend(left, left_b)
-                        if back + ahead >= span:
-                            row = (doc, place - back, other, place_b - back)
-                            out.append((*(row if doc < other else row[2:] + row[:2]), back + ahead))
-            columns = list(zip(*out)) if out else [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_a", "start_a", "doc_b", "start_b", "length"])
+            at, end, hashes = _hashed(batch, 2)
+            lead = np.asarray(batch.column(2))
+            rows, steps, ones, twos = [], [], [], []
+            for step, (least, most) in enumerate(_step_bounds(span)):
+                stop = at + block + side - most
+                own = np.flatnonzero((lead >= least) & (stop <= end))
+                rows.append(own)
+                steps.append(np.full(len(own), step, np.int32))
+                for out, h in ((ones, hashes[0]), (twos, hashes[1])):
+                    out.append(h.of(at[own] - least, stop[own]).view(np.int64))
+            take = pa.array(np.concatenate(rows))
+            own = [batch.column(i).take(take) for i in (0, 1, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(steps)), pa.array(np.concatenate(ones)), pa.array(np.concatenate(twos))], ["c", "d", "low", "high", "step", "one", "two"])
 
     return run
 
 
-def _runs(span: int, block: int):
-    """Every run of the span length over the block of a context, by a 128-bit hash, and where it begins beside the block."""
+def _fine_keys(span: int):
+    """Of each context every run of the span length over its block in the steps given, and where it begins beside the block."""
+    bounds = _step_bounds(span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ones, twos, rows, shifts = [], [], [], []
-            for row, (lead, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                for begin in range(max(0, lead + block - span), min(lead, len(text) - span) + 1):
-                    h = xxhash.xxh3_128_intdigest(text[begin : begin + span])
-                    ones.append((h >> 64) - (1 << 63))
-                    twos.append((h & ((1 << 64) - 1)) - (1 << 63))
-                    rows.append(row)
-                    shifts.append(begin - lead)
-            own = [batch.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1, 4, 5)]
-            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), *own, pa.array(shifts, pa.int32())], ["one", "two", "c", "d", "low", "high", "shift"])
+            at, end, hashes = _hashed(batch, 4)
+            lead, steps = np.asarray(batch.column(4)), np.asarray(batch.column(6))
+            rows, shifts = [], []
+            for step, (least, most) in enumerate(bounds):
+                for left in range(least, most + 1):
+                    own = np.flatnonzero(((steps >> step) & 1 == 1) & (lead >= left) & (at - left + span <= end))
+                    rows.append(own)
+                    shifts.append(np.full(len(own), -left, np.int32))
+            row, shift = np.concatenate(rows), np.concatenate(shifts)
+            start = at[row] + shift
+            keys = [h.of(start, start + span).view(np.int64) for h in hashes]
+            own = [batch.column(i).take(pa.array(row)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(shift), *map(pa.array, keys)], ["c", "d", "low", "high", "shift", "one", "two"])
 
     return run

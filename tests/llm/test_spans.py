@@ -36,9 +36,8 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("pairwise, size", [(spans.PAIRWISE, spans.SLICE), (0, 50), (10_000, 64)])
-def test_pairs_and_coverage_equal_brute_force(spark, monkeypatch, pairwise, size):
-    monkeypatch.setattr(spans, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("size", [spans.SLICE, 50, 64])
+def test_pairs_and_coverage_equal_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(spans, "SLICE", size)
     rows = corpus(4)
     df = spark.createDataFrame(rows, "k long, t string").withColumns({"doc": F.lit(1), "text": F.lit("x"), "place": F.lit(0)})
@@ -67,3 +66,39 @@ def test_production_length(spark):
 def test_empty(spark):
     found = spans.shared_spans(spark.createDataFrame([], "k long, t string"), F.col("k"), F.col("t"))
     assert found.pairs().collect() == [] and found.spans().collect() == []
+
+
+def test_factors_copy_their_reference(spark):
+    rows = corpus(5)
+    texts = {k: t for k, t in rows if k is not None and t}
+    found = spans.shared_spans(spark.createDataFrame(rows, "k long, t string"), F.col("k"), F.col("t"), SPAN)
+    factors = [tuple(r) for r in found.factors.collect()]
+    assert len(factors) > 20
+    for doc, start, length, ref_doc, ref_start in factors:
+        assert length >= SPAN and texts[doc][start : start + length] == texts[ref_doc][ref_start : ref_start + length]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_short_alphabets_and_edges_of_runs(spark, seed):
+    """Runs that just reach the length, periodic texts, copies that part and meet again."""
+    rng = random.Random(100 + seed)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    base = [word(60, "ab"), word(45, "abc"), "ab" * 30, "aab" * 20]
+    rows = []
+    for k in range(70):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            b = rng.choice(base)
+            cut = rng.randrange(max(1, len(b) - SPAN))
+            piece = list(b[cut : cut + SPAN + rng.randrange(-2, 12)])
+            if piece and rng.random() < 0.5:
+                piece[rng.randrange(len(piece))] = rng.choice("abcx")
+            parts += ["".join(piece), word(rng.randrange(6), "abcxyz")]
+        rows.append((k, "".join(parts)))
+    found = spans.shared_spans(spark.createDataFrame(rows, "k long, t string"), F.col("k"), F.col("t"), SPAN)
+    pairs, covered = brute(rows, SPAN)
+    assert {tuple(r) for r in found.pairs().collect()} == pairs
+    cover = {}
+    for r in found.spans().collect():
+        cover.setdefault(r["doc"], set()).update(range(r["start"], r["start"] + r["length"]))
+    assert cover == covered
