@@ -1,12 +1,16 @@
 """The most similar vectors of every vector, by score-aware quantisation.
 
-Vectors go to the list of their nearest centroid and visit the lists of the next nearest ones. In a list the members are
-held as four-bit codes, one for each two dimensions, chosen with the anisotropic loss: an error along the vector, which
-moves every high score, weighs more than one across it. A visitor's products with the sixteen codewords of each pair of
-dimensions are tables, and the scan adds table entries by code. For every vector the error of its code is known, so the
-scan keeps all that can reach the wanted similarity; those are ranked again by the exact cosine in double precision. A
-pair is found if either of the two visits the home of the other, and it counts for both. Only that choice of lists can
-lose a neighbour.
+Vectors go to the list of their nearest centroid and visit the lists of the next nearest ones. Lists have two levels, a
+centroid and the centroid of what is left, so that their number grows with the rows while the model stays small. With a
+vector travels its four-bit code, one for each two dimensions, chosen with the anisotropic loss: an error along the
+vector, which moves every high score, weighs more than one across it. In a list every home vector is a query: its
+products with the codewords are tables, and the scan adds table entries by code over all vectors there. For every vector
+the error of its code is known, so the scan keeps all that can still be among the best; those are ranked again by the
+exact cosine in double precision. A pair is found if either of the two visits the home of the other, and it counts for
+both. Only that choice of lists can lose a neighbour.
+
+A list of very many rows is cut into blocks of queries and blocks of members, and each block of the one meets each of
+the other in its own group; groups hold a bounded number of rows.
 
 Centroids and codewords are fitted on at most about ``FIT_ROWS`` vectors of a kind; every vector is indexed. Vectors
 that are equal are one class: one of them is indexed, and results are spread to the members.
@@ -27,8 +31,13 @@ from tesserae.session import Scratch
 
 #: Rows of a kind for fitting (documented bound), of them those for the codewords, and rows aimed at in a list.
 FIT_ROWS, CODE_ROWS, LIST_ROWS = 24_000, 6_000, 256
-#: At least so many fitting rows for each centroid: bounds the centroids by FIT_ROWS / 8.
+#: At least so many fitting rows for each centroid: bounds the centroids of a level by FIT_ROWS / 8, the lists by its
+#: square.
 ROWS_PER_CENTROID = 8
+#: Rows of a block of queries and of a block of members; lists within both are one group.
+QUERY_BLOCK, MEMBER_BLOCK = 4_096, 16_384
+#: Queries and members multiplied at once.
+TILE_QUERIES, TILE_MEMBERS = 512, 2_048
 #: Lists a vector goes to, its home included.
 LISTS = 4
 #: Weight of the error along the vector against that across it, from the published rule (d - 1) t^2 / (1 - t^2).
@@ -111,16 +120,38 @@ def codewords(x: np.ndarray, eta: float, width: int = 2, rounds: int = 6) -> np.
     return words
 
 
-def scan(queries: np.ndarray, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+def pack(codes: np.ndarray) -> np.ndarray:
+    """Two codes a byte, the earlier one in the lower half."""
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], axis=1)
+    return codes[:, 0::2] | (codes[:, 1::2] << 4)
+
+
+def tables(queries: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(bytes, 256, queries): the products of each query with the codewords that a byte of two codes stands for."""
+    parts = queries.reshape(len(queries), words.shape[0], -1).astype(np.float32)
+    each = np.einsum("swd,qsd->swq", words.astype(np.float32), parts)
+    if len(each) % 2:
+        each = np.concatenate([each, np.zeros_like(each[:1])])
+    return (each[1::2, :, None] + each[0::2, None]).reshape(len(each) // 2, 256, len(queries))
+
+
+def scan_packed(entries: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate products (rows, queries): sums of table entries chosen by four-bit codes."""
-    parts = queries.reshape(len(queries), words.shape[0], -1)
-    out = np.zeros((len(codes), len(queries)), np.float32)
-    for s in range(words.shape[0]):
-        table = (words[s] @ parts[:, s].T).astype(np.float32)
-        out += table.take(codes[:, s], axis=0)
+    out = np.zeros((len(packed), entries.shape[2]), np.float32)
+    part = np.empty((256, entries.shape[2]), np.float32)
+    for at in range(0, len(packed), 256):
+        rows = packed[at : at + 256]
+        for byte in range(len(entries)):
+            out[at : at + 256] += entries[byte].take(rows[:, byte], axis=0, out=part[: len(rows)], mode="clip")
     return out
 
 
+def scan(queries: np.ndarray, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Approximate products (rows, queries) of queries and codes."""
+    return scan_packed(tables(queries, words), pack(codes))
+
+
 def similar_vectors(df: DataFrame, kind: Column, key: Column, vector: Column, k: int = 10, floor: float = 0.85, dims: int = 64, lists: int | None = None) -> DataFrame:
     """(kind, id, neighbor_id, cosine): the up to ``k`` other rows of the kind with the highest cosine, ``floor`` at least.
 
@@ -137,10 +168,14 @@ def similar_vectors(df: DataFrame, kind: Column, key: Column, vector: Column, k:
     copies = work.put(ids.join(classes, ["kind", "one", "two"]).select("kind", "id", "rep"), "copies")
     chosen = stored.join(copies.where("id <> rep").select("kind", "id"), ["kind", "id"], "left_anti").select("kind", "id", "vector")
 
-    model = _fit(stored, dims, lists or LISTS)
+    model = _fit(stored, dims, lists or LISTS, floor)
     shared = spark.sparkContext.broadcast(model)
-    placed = chosen.mapInArrow(_place(shared, dims), "kind string, list int, home boolean, id string, vector binary")
-    found = placed.groupBy("kind", "list").applyInArrow(_scan_list(shared, dims, k, floor), "kind string, id string, neighbor_id string, cosine double")
+    counted = chosen.mapInArrow(_place(shared, dims, False), "kind string, list bigint, home boolean")
+    sizes = counted.groupBy("kind", "list").agg(F.count_if("home").alias("queries"), F.count(F.lit(1)).alias("rows"))
+    large = work.put(sizes.where((F.col("queries") > QUERY_BLOCK) | (F.col("rows") > MEMBER_BLOCK)), "large")
+    placed = chosen.mapInArrow(_place(shared, dims, True), "kind string, list bigint, home boolean, id string, vector binary, code binary, slack float")
+    grouped = _blocks(placed.join(large, ["kind", "list"], "left"))
+    found = grouped.groupBy("kind", "list", "q", "m").applyInArrow(_scan_group(shared, dims, k, floor), "kind string, id string, neighbor_id string, cosine double")
     best = _top(found.groupBy("kind", "id", "neighbor_id").agg(F.max("cosine").alias("cosine")), k)
 
     # equal vectors: of a neighbour's class the k + 1 smallest ids can count, for a class itself all its members do
@@ -173,8 +208,21 @@ def _store(dims: int):
     return run
 
 
-def _fit(stored: DataFrame, dims: int, lists: int) -> dict:
-    """Centroids and codewords by kind, from a hash sample of about FIT_ROWS rows of each kind at most."""
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Each row once for every group it is in: as a query (role 1), a member (2) or both (3)."""
+    n_q, n_m = (F.coalesce(F.ceil(F.col(c) / size), F.lit(1)).cast("int") for c, size in (("queries", QUERY_BLOCK), ("rows", MEMBER_BLOCK)))
+    q, m = F.pmod(F.xxhash64("id"), n_q).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), n_m).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    group = lambda q, m, role: F.struct(q.alias("q"), m.alias("m"), role.cast("int").alias("role"))
+    queries = F.transform(each(n_m), lambda b: group(q, b, F.when(b == m, 3).otherwise(1)))
+    members = F.transform(each(n_q), lambda b: group(b, m, F.lit(2)))
+    groups = F.when(F.col("queries").isNull(), F.array(group(F.lit(0), F.lit(0), F.when(F.col("home"), 3).otherwise(2))))
+    groups = groups.when(F.col("home"), F.concat(queries, F.filter(members, lambda g: g["q"] != q))).otherwise(members)
+    return placed.withColumn("group", F.explode(groups)).select("kind", "list", "group.q", "group.m", "group.role", "home", "id", "vector", "code", "slack")
+
+
+def _fit(stored: DataFrame, dims: int, lists: int, floor: float) -> dict:
+    """Centroids of both levels and codewords by kind, from a hash sample of about FIT_ROWS rows of each kind at most."""
     sizes = {r["kind"]: r["n"] for r in stored.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     every = F.lit(1)
     for kind, n in sizes.items():
@@ -182,85 +230,143 @@ def _fit(stored: DataFrame, dims: int, lists: int) -> dict:
     order = F.xxhash64("id")
     sample = stored.where(F.pmod(order, every.cast("bigint")) == 0).select("kind", order.alias("o"), "vector").toPandas().sort_values(["kind", "o"])
     eta = (dims - 1) * ALIGNED_SCORE**2 / (1 - ALIGNED_SCORE**2)
-    model = {"eta": eta, "lists": lists}
+    model = {"eta": eta, "lists": lists, "across": np.sqrt(max(0.0, 1 - floor * floor))}
     for kind, n in sizes.items():
         x = unit(np.frombuffer(b"".join(sample.loc[sample["kind"] == kind, "vector"]), np.float32).reshape(-1, dims))
         if len(x) == 0:  # tiny tables whose sample came out empty
             x = np.eye(1, dims)
-        n_lists = max(1, min(-(-n // LIST_ROWS), len(x) // ROWS_PER_CENTROID))
-        model[kind] = (centroids(x.astype(np.float32), n_lists), codewords(x[:CODE_ROWS], eta).astype(np.float32))
+        wanted, most = -(-n // LIST_ROWS), max(1, len(x) // ROWS_PER_CENTROID)
+        first = centroids(x.astype(np.float32), max(1, min(wanted, most)))
+        rest = x - first[(x @ first.T).argmax(axis=1)]
+        second = residual_centroids(rest.astype(np.float32), min(-(-wanted // len(first)), most))
+        model[kind] = (first, second, codewords(x[:CODE_ROWS], eta).astype(np.float32))
     return model
 
 
-def _place(shared, dims: int):
+def residual_centroids(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """k-means of what is left beside the first centroids; a single one is the origin."""
+    if n <= 1:
+        return np.zeros((1, x.shape[1]), np.float32)
+    c = x[:n].copy()
+    for _ in range(rounds):
+        near = (x @ c.T - (c**2).sum(axis=1) / 2).argmax(axis=1)
+        order = np.argsort(near, kind="stable")
+        own, first, counts = np.unique(near[order], return_index=True, return_counts=True)
+        c[own] = np.add.reduceat(x[order], first, axis=0) / counts[:, None]
+    return c
+
+
+def nearest_lists(x: np.ndarray, first: np.ndarray, second: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the ``m`` nearest lists of each row, and which of them is the nearest; of the first level the ``m``
+    best are tried."""
+    scores = x @ first.T
+    tried = min(m, len(first))
+    top = np.argpartition(-scores, tried - 1, axis=1)[:, :tried] if tried < len(first) else np.tile(np.arange(tried), (len(x), 1))
+    if len(second) == 1:
+        return top.astype(np.int64), top == scores.argmax(axis=1)[:, None]
+    half = (second**2).sum(axis=1) / 2
+    cross = first @ second.T
+    inner = x @ second.T - half
+    # half the squared distance to the sum of both centroids, less that of the row itself
+    score = np.stack([(scores[np.arange(len(x)), top[:, t]] - 0.5)[:, None] + inner - cross[top[:, t]] for t in range(tried)], axis=1).reshape(len(x), -1)
+    m = min(m, score.shape[1])
+    cell = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < score.shape[1] else np.tile(np.arange(m), (len(x), 1))
+    at = np.take_along_axis(top, cell // len(second), axis=1)
+    return at.astype(np.int64) * len(second) + cell % len(second), cell == score.argmax(axis=1)[:, None]
+
+
+def _place(shared, dims: int, whole: bool):
+    """Each vector in each of its lists, with its code and the error that the code can make in a score that counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             kinds = np.asarray(batch.column(0).to_pylist(), object)
             for kind in dict.fromkeys(kinds):
                 at = np.flatnonzero(kinds == kind)
-                vectors = batch.column(2).take(pa.array(at))
-                x = unit(np.frombuffer(b"".join(vectors.to_pylist()), np.float32).reshape(-1, dims)).astype(np.float32)
-                center = model[kind][0]
-                m = min(model["lists"], len(center))
-                scores = x @ center.T
-                near = np.argpartition(-scores, m - 1, axis=1)[:, :m] if m < len(center) else np.tile(np.arange(m), (len(x), 1))
-                home = scores.argmax(axis=1)
-                rows = np.repeat(np.arange(len(x)), m)
-                ids, to = batch.column(1).take(pa.array(at)), near.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(to, pa.int32()), pa.array(to == home[rows]), ids.take(pa.array(rows)), vectors.take(pa.array(rows))], ["kind", "list", "home", "id", "vector"])
+                for piece in range(0, len(at), 1024):
+                    own = pa.array(at[piece : piece + 1024])
+                    vectors = batch.column(2).take(own)
+                    x = unit(np.frombuffer(b"".join(vectors.to_pylist()), np.float32).reshape(-1, dims))
+                    first, second, words = model[kind]
+                    to, home = nearest_lists(x.astype(np.float32), first, second, model["lists"])
+                    rows = pa.array(np.repeat(np.arange(len(x)), to.shape[1]))
+                    columns = [pa.array([kind] * len(rows), pa.string()), pa.array(to.ravel()), pa.array(home.ravel())]
+                    names = ["kind", "list", "home"]
+                    if whole:
+                        words = words.astype(np.float64)
+                        codes = encode(x, words, model["eta"])
+                        error = x - decode(codes, words)
+                        along = (error * x).sum(axis=1)
+                        slack = np.stack([np.abs(along), np.linalg.norm(error - along[:, None] * x, axis=1)])
+                        slack = (slack[0] + model["across"] * slack[1] + 1e-5).astype(np.float32)
+                        code = pa.array([c.tobytes() for c in pack(codes)], pa.binary())
+                        columns += [c.take(rows) for c in (batch.column(1).take(own), vectors, code, pa.array(slack))]
+                        names += ["id", "vector", "code", "slack"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _scan_list(shared, dims: int, k: int, floor: float):
-    """Of one list: for every member and visitor its best partners there, of which one at least is a member."""
-    across = np.sqrt(max(0.0, 1 - floor * floor))
+def _scan_group(shared, dims: int, k: int, floor: float):
+    """Of one group: for every query its best members, and for every visiting member its best queries."""
 
     def run(rows: pa.Table) -> pa.Table:
         model = shared.value
         kind = rows.column("kind")[0].as_py()
-        words, eta = model[kind][1].astype(np.float64), model["eta"]
-        home = np.asarray(rows.column("home"))
-        order = np.argsort(~home, kind="stable")
-        ids = np.asarray(rows.column("id").to_pylist(), object)[order]
-        x = unit(np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, dims)[order])
-        n = int(home.sum())
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, n, 4096):
-            block = x[a : min(a + 4096, n)]
-            codes = encode(block, words, eta)
-            error = block - decode(codes, words)
-            along = (error * block).sum(axis=1)
-            slack = np.abs(along) + across * np.linalg.norm(error - along[:, None] * block, axis=1) + 1e-6
-            least = (floor - slack).astype(np.float32)
-            for b in range(0, len(x), 1024):
-                queries = x[b : b + 1024]
-                i, j = np.nonzero(scan(queries, codes, words) >= least[:, None])
-                i, j = i + a, j + b
-                # members meet each other once, from the smaller place; visitors meet every member
-                once = (j > i) if b < n else np.ones(len(i), bool)
-                i, j = i[once], j[once]
-                exact = np.einsum("ij,ij->i", x[i], x[j]) if len(i) else np.empty(0)
-                good = exact >= floor
-                i, j, exact = i[good], j[good], exact[good]
-                out.append(_best(np.r_[i, j], np.r_[j, i], np.r_[exact, exact], ids, k))
-        merged = [np.concatenate(c) if out else np.empty(0, int) for c in (zip(*out) if out else ([], [], []))]
-        i, j, score = _best(*merged, ids, k) if out else merged
-        return pa.table({"kind": pa.array([kind] * len(i), pa.string()), "id": pa.array(ids[i.astype(int)], pa.string()), "neighbor_id": pa.array(ids[j.astype(int)], pa.string()), "cosine": pa.array(score, pa.float64())})
+        words = model[kind][2]
+        role, home = np.asarray(rows.column("role")), np.asarray(rows.column("home"))
+        ids = np.asarray(rows.column("id").to_pylist(), object)
+        x = unit(np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, dims))
+        packed = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+        slack = np.asarray(rows.column("slack"))
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
+        queries, members = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        least = np.full(len(x), floor)  # what a partner must reach: the k-th best so far, if there are as many
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for b in range(0, len(queries), TILE_QUERIES):
+            q = queries[b : b + TILE_QUERIES]
+            entries = tables(x[q], words)
+            for a in range(0, len(members), TILE_MEMBERS):
+                m = members[a : a + TILE_MEMBERS]
+                needed = np.minimum(least[q][None, :], np.where(home[m], np.inf, least[m])[:, None])
+                kept = scan_packed(entries, packed[m]) + slack[m][:, None] >= needed
+                if np.count_nonzero(kept) * 16 > kept.size:
+                    exact = np.round(x[m] @ x[q].T, 12)
+                    exact[m[:, None] == q[None, :]] = -2
+                    i, j = np.nonzero(kept & (exact >= _reached(exact, needed, k)))
+                    score = exact[i, j]
+                else:
+                    i, j = np.nonzero(kept)
+                    i, j = i[m[i] != q[j]], j[m[i] != q[j]]
+                    score = np.round(np.einsum("ij,ij->i", x[m[i]], x[q[j]]), 12) if len(i) else np.empty(0)
+                i, j = m[i], q[j]
+                to_query, to_visitor = score >= least[j], (score >= least[i]) & ~home[i]
+                new = (np.r_[j[to_query], i[to_visitor]], np.r_[i[to_query], j[to_visitor]], np.r_[score[to_query], score[to_visitor]])
+                if len(new[0]):
+                    best = _best(*(np.concatenate(c) for c in zip(best, new)), rank, k)
+                    owner, first, count = np.unique(best[0], return_index=True, return_counts=True)
+                    full = count == k
+                    least[owner[full]] = np.maximum(floor, best[2][first[full] + k - 1])
+        i, j, score = best
+        return pa.table({"kind": pa.array([kind] * len(i), pa.string()), "id": pa.array(ids[i], pa.string()), "neighbor_id": pa.array(ids[j], pa.string()), "cosine": pa.array(score, pa.float64())})
 
     return run
 
 
-def _best(i: np.ndarray, j: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _reached(exact: np.ndarray, needed: np.ndarray, k: int) -> np.ndarray:
+    """What a score of a tile must reach to be one of the k best, ties included, of its row or its column."""
+    of_row = np.partition(exact, -k, axis=1)[:, -k] if exact.shape[1] > k else np.full(len(exact), -1.0)
+    of_column = np.partition(exact, -k, axis=0)[-k] if len(exact) > k else np.full(exact.shape[1], -1.0)
+    return np.maximum(needed, np.minimum(of_row[:, None], of_column[None, :]))
+
+
+def _best(i: np.ndarray, j: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best partners of each row; ties go to the smaller id."""
-    if len(i) == 0:
-        return i, j, score
-    ranks = np.empty(len(ids), np.int64)
-    ranks[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
-    order = np.lexsort((ranks[j], -score, i))
+    order = np.lexsort((rank[j], -score, i))
     i, j, score = i[order], j[order], score[order]
-    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, np.int64)
     place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
     keep = place < k
     return i[keep], j[keep], score[keep]

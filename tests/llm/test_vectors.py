@@ -81,3 +81,37 @@ def test_tiny(spark, n):
     v = corpus(4, 16).tolist()
     rows = [("a", str(i), v[0]) for i in range(n)]
     assert run(spark, rows) == ({("a", "0"): [(-1.0, "1")], ("a", "1"): [(-1.0, "0")]} if n == 2 else {})
+
+
+def test_two_levels_of_lists(spark, monkeypatch):
+    """More lists than the sample has room for centroids on one level."""
+    monkeypatch.setattr(vectors, "LIST_ROWS", 20)
+    monkeypatch.setattr(vectors, "FIT_ROWS", 300)
+    v = corpus(5, 4000)
+    rows = [("a", f"{i:05d}", x) for i, x in enumerate(v.tolist())]
+    want = {(key, j) for key, best in brute(rows, 10, 0.85).items() for _, j in best}
+    got = {(key, j) for key, best in run(spark, rows, 10).items() for _, j in best}
+    assert len(want) > 2000 and len(got & want) >= 0.9 * len(want)
+
+
+def test_nearest_lists_are_the_nearest_sums(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = vectors.unit(rng.normal(size=(50, DIMS))).astype(np.float32)
+    first, second = vectors.unit(rng.normal(size=(4, DIMS))).astype(np.float32), rng.normal(size=(5, DIMS)).astype(np.float32) / 4
+    to, home = vectors.nearest_lists(x, first, second, 4)
+    sums = (first[:, None] + second[None]).reshape(-1, DIMS)
+    distance = ((x[:, None] - sums[None]) ** 2).sum(axis=2)
+    assert [set(r) for r in to] == [set(r) for r in np.argsort(distance, axis=1)[:, :4]]
+    assert (to[home] == distance.argmin(axis=1)).all()
+
+
+@pytest.mark.parametrize("query_block, member_block, tile", [(16, 24, 7), (1000, 1000, 64)])
+def test_blocks_of_a_large_list_give_the_same(spark, monkeypatch, query_block, member_block, tile):
+    """A list cut into blocks, in dense and sparse tiles, with ties and copies."""
+    for name, value in (("QUERY_BLOCK", query_block), ("MEMBER_BLOCK", member_block), ("TILE_QUERIES", tile), ("TILE_MEMBERS", tile)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(7)
+    tight = (rng.normal(size=DIMS) + 0.05 * rng.normal(size=(90, DIMS))).astype(np.float32)
+    v = np.concatenate([corpus(8, 80), tight, tight[:20] * 2, tight[:5]]).tolist()
+    rows = [("a", f"{i:03d}", x) for i, x in enumerate(v)]
+    assert run(spark, rows) == {key: x for key, x in brute(rows, 5, 0.85).items() if x}
