@@ -79,19 +79,20 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def choose_blocks(text: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text the places and hashes of its reference blocks, and hashes of how the text goes on from each to the
-    block before and after it (the stretch over both; 0 where there is none).
+def choose_blocks(texts: list[str], span: int) -> tuple[np.ndarray, ...]:
+    """Of texts put one after the other, all at once: the number of each reference block's text, its place there, its
+    hash, and a hash of how the text goes on from it to the block before and the one after (0 if either is missing).
 
     Of each window the block with the smallest upper hash bits is chosen, the rightmost of ties: the choice depends on
     the window's characters only. Blocks that follow each other are a window apart at most.
     """
     block = span // 2
     window = span - block + 1
-    codes = _codes(text)
-    if len(codes) < span:
-        return np.empty(0, np.int64), *(np.empty(0, np.uint64) for _ in range(3))
-    places, hashes = [], []
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    codes = _codes("".join(texts))
+    found, hashes = [], []
     for at in range(0, len(codes) - span + 1, SLICE):
         h = RunHashes(codes[at : at + SLICE + span - 1]).all(block)
         n = len(h)
@@ -102,25 +103,31 @@ def choose_blocks(text: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(behind[: n - window + 1], ahead[window - 1 : n])
-        where = np.unique(0xFFFFFF - (least & np.uint64(0xFFFFFF)).astype(np.int64))
-        places.append(where + at)
-        hashes.append(h[where])
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    hashed = np.concatenate(hashes)[first]
+        first = np.arange(at, at + len(least))
+        whole = first + span <= ends[np.searchsorted(ends, first, side="right")]  # windows within one text
+        chosen = np.unique(0xFFFFFF - (least[whole] & np.uint64(0xFFFFFF)).astype(np.int64))
+        found.append(at + chosen)
+        hashes.append(h[chosen])
+    place, first = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_index=True)
+    hashed = np.concatenate([np.empty(0, np.uint64), *hashes])[first]
+    owner = np.searchsorted(ends, place, side="right")
+    way = np.zeros(len(place), np.uint64)
     links = np.zeros(max(0, len(place) - 1), np.uint64)
     for at in range(0, len(codes), SLICE):
-        own = np.flatnonzero((place[:-1] >= at) & (place[:-1] < at + SLICE))
+        own = np.flatnonzero((place[:-1] >= at) & (place[:-1] < at + SLICE) & (owner[:-1] == owner[1:]))
         if len(own):
             runs = RunHashes(codes[at : at + SLICE + window + block], 1)
             links[own] = runs.of(place[own] - at, place[own + 1] + block - at)
-    before, after = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
-    before[1:], after[:-1] = _mix(links ^ hashed[:-1]) | np.uint64(1), _mix(links ^ hashed[1:]) | np.uint64(1)
-    return place, hashed, before, after
+    if len(place) > 2:
+        inner = (owner[:-2] == owner[1:-1]) & (owner[2:] == owner[1:-1])
+        ways = _mix(_mix(_mix(links[:-1] ^ hashed[:-2]) ^ links[1:]) ^ hashed[2:]) | np.uint64(1)
+        way[1:-1] = np.where(inner, ways, np.uint64(0))
+    return owner, place - begins[owner], hashed, way
 
 
 @dataclass
 class SharedSpans:
-    """``members``: (doc, class_id, n_chars), every text of at least the span length; a class is texts equal as a whole.
+    """``members``: (doc, class_id, n_chars, ...), every text of at least the span length; a class is texts equal as a whole.
     ``factors``: (doc, start, length, ref_doc, ref_start), the parse of each class: its factors of the span length.
     ``shared``: (how, one, two, doc), the classes that have one factor or boundary run in common; runs with the same
     classes are given once. ``intervals``: (doc, start, stop), the shared parts of each class, as pieces that may
@@ -157,8 +164,8 @@ class SharedSpans:
 def shared_spans(df: DataFrame, key: Column, text: Column, span: int = 200) -> SharedSpans:
     """Runs of at least ``span`` characters, compared exactly, that two texts with different ``key`` share.
 
-    ``key`` is an integer and names one text; repeated rows of it count once, rows with a null key or text take no
-    part. Other columns are pruned, whatever their names. An empty table gives empty results.
+    ``key`` is an integer and names one text; repeated rows of it count once, of different texts under one key the one
+    with the smallest hash counts. Rows with a null key or text take no part. Other columns are pruned, whatever their names. An empty table gives empty results.
     """
     if span < 4:
         raise ValueError("a span has at least 4 characters")
@@ -167,7 +174,7 @@ def shared_spans(df: DataFrame, key: Column, text: Column, span: int = 200) -> S
     blocks, members = _index(work, rows, span)
     parsed = _parse(work, blocks, members, span)
     factors = parsed.select("doc", F.explode("factors").alias("f")).select("doc", "f.*")
-    contexts, held = _boundaries(work, parsed, rows, span)
+    contexts, held = _boundaries(work, parsed, members, rows, span)
     runs = _runs_in_common(work, contexts, span)
 
     # texts of one factor or run; of those with the same texts one is enough
@@ -186,35 +193,37 @@ def shared_spans(df: DataFrame, key: Column, text: Column, span: int = 200) -> S
     islands = places.withColumn("island", F.col("shift") - F.row_number().over(w)).groupBy("c", "d", "island").agg(F.min("shift").alias("first"), F.max("shift").alias("last"))
     across = held.join(islands, ["c", "d"]).select("doc", (F.col("place") + F.col("first")).alias("start"), (F.col("place") + F.col("last") + span).alias("stop"))
     inside = factors.select("doc", "start", (F.col("start") + F.col("length")).alias("stop"))
-    return SharedSpans(members, factors, shared, inside.unionByName(across))
+    return SharedSpans(members.select("doc", "class_id", "n_chars"), factors, shared, inside.unionByName(across))
 
 
 def _index(work: Scratch, rows: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """Every text's blocks, and the classes of equal texts."""
     marked = rows.withColumns({"n_chars": F.length("text"), "one": F.xxhash64("text"), "two": F.xxhash64("text", F.lit(1))})
-    blocks = work.put(marked.mapInArrow(_choose(span), "doc bigint, n_chars int, one bigint, two bigint, places array<int>, hashes array<bigint>, before array<bigint>, after array<bigint>"), "blocks")
-    classes = blocks.groupBy("one", "two", "n_chars").agg(F.min("doc").alias("class_id"))
-    return blocks, work.put(blocks.join(classes, ["one", "two", "n_chars"]).select("doc", "class_id", "n_chars").distinct(), "members")
+    blocks = work.put(marked.mapInArrow(_choose(span), "doc bigint, n_chars int, one bigint, two bigint, places array<int>, hashes array<bigint>, ways array<bigint>"), "blocks")
+    keys = blocks.groupBy("doc").agg(F.min(F.struct("one", "two", "n_chars")).alias("k")).select("doc", "k.*")
+    classes = keys.groupBy("one", "two", "n_chars").agg(F.min("doc").alias("class_id"))
+    return blocks, work.put(keys.join(classes, ["one", "two", "n_chars"]), "members")
 
 
 def _parse(work: Scratch, blocks: DataFrame, members: DataFrame, span: int) -> DataFrame:
     """(doc, factors, ends) of each class: its long factors and the places of its boundary blocks."""
-    chosen = blocks.join(members.where("doc = class_id").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    placed = chosen.select("doc", F.posexplode(F.arrays_zip("places", "hashes", "before", "after")).alias("i", "b"))
-    placed = placed.select("doc", "i", F.col("b.places").alias("place"), F.col("b.hashes").alias("hash"), "b.before", "b.after")
-    alike = [(F.min(c) == F.max(c)) & (F.min(c) != 0) for c in ("before", "after")]
-    index = placed.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "place")).alias("ref"), (alike[0] & alike[1]).alias("alike"))
-    index = index.where("low < high").select("hash", "alike", "ref")
+    chosen = blocks.join(members.where("doc = class_id").select("doc", "one", "two"), ["doc", "one", "two"], "left_semi")
+    placed = chosen.select("doc", F.posexplode(F.arrays_zip("places", "hashes", "ways")).alias("i", "b"))
+    placed = placed.select("doc", "i", F.col("b.places").alias("place"), F.col("b.hashes").alias("hash"), F.col("b.ways").alias("way"))
+    alike = (F.min("way") == F.max("way")) & (F.min("way") != 0)
+    index = placed.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("ref"), F.max("doc").alias("high"), alike.alias("alike"))
+    index = index.where("ref.doc < high").select("hash", "alike", "ref")
     known = placed.select("doc", "i", "place", "hash").join(index, "hash")
-    lined = known.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "place", "alike", F.col("ref.doc").alias("ref_doc"), F.col("ref.place").alias("ref_place")))).alias("at"))
+    lined = known.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("i", "place", "alike", F.col("ref.doc").alias("ref_doc"), F.col("ref.place").alias("ref_place")))).alias("at"))
     return work.put(lined.mapInArrow(_factor(span), "doc bigint, factors array<struct<start:int,length:int,ref_doc:bigint,ref_start:int>>, ends array<int>"), "parsed")
 
 
-def _boundaries(work: Scratch, parsed: DataFrame, rows: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+def _boundaries(work: Scratch, parsed: DataFrame, members: DataFrame, rows: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """Contexts: the distinct characters around boundary blocks that a run of the span length can cover, with their least
     and greatest text; and the places that have each."""
-    ends = parsed.where(F.size("ends") > 0).select("doc", "ends")
-    around = ends.join(rows.dropDuplicates(["doc"]), "doc").select("doc", "ends", "text").mapInArrow(_around(span), "doc bigint, place int, lead int, around string")
+    ends = parsed.where(F.size("ends") > 0).select("doc", "ends").join(members.select("doc", "one", "two"), "doc")
+    whole = ends.join(rows, "doc").where((F.xxhash64("text") == F.col("one")) & (F.xxhash64("text", F.lit(1)) == F.col("two")))
+    around = whole.select("doc", "ends", "text").mapInArrow(_around(span), "doc bigint, place int, lead int, around string")
     around = work.put(around.withColumns({"c": F.xxhash64("lead", "around"), "d": F.xxhash64("lead", "around", F.lit(1))}), "around")
     contexts = around.groupBy("c", "d").agg(F.first("lead").alias("lead"), F.first("around").alias("around"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     return work.put(contexts, "contexts"), around.select("c", "d", "doc", "place")
@@ -231,18 +240,20 @@ def _runs_in_common(work: Scratch, contexts: DataFrame, span: int) -> DataFrame:
     return work.put(fine.join(two_texts(fine, ["one", "two"]), ["one", "two"]), "runs")
 
 
-def _lists(values: list[np.ndarray], dtype: type) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    flat = np.concatenate(values).astype(dtype, copy=False) if values else np.empty(0, dtype)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
 def _choose(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [choose_blocks(t.as_py(), span) for t in batch.column(1)]
-            columns = [_lists([f[0] for f in found], np.int32), *(_lists([f[i].view(np.int64) for f in found], np.int64) for i in (1, 2, 3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns], ["doc", "n_chars", "one", "two", "places", "hashes", "before", "after"])
+            texts, begin = batch.column(1).to_pylist(), 0
+            while begin < len(texts):
+                end, size = begin + 1, len(texts[begin])
+                while end < len(texts) and size + len(texts[end]) <= SLICE:
+                    size, end = size + len(texts[end]), end + 1
+                owner, *columns = choose_blocks(texts[begin:end], span)
+                ends = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=end - begin))].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in (columns[0].astype(np.int32), *(c.view(np.int64) for c in columns[1:]))]
+                rest = [batch.column(i).slice(begin, end - begin) for i in (0, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*rest, *lists], ["doc", "n_chars", "one", "two", "places", "hashes", "ways"])
+                begin = end
 
     return run
 

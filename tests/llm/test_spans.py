@@ -102,3 +102,12 @@ def test_short_alphabets_and_edges_of_runs(spark, seed):
     for r in found.spans().collect():
         cover.setdefault(r["doc"], set()).update(range(r["start"], r["start"] + r["length"]))
     assert cover == covered
+
+
+def test_of_two_texts_under_one_key_one_counts(spark):
+    rng = random.Random(11)
+    a, b = ("".join(rng.choice("abcdef") for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (1, b), (2, a + "x"), (3, "y" + b)]
+    found = spans.shared_spans(spark.createDataFrame(rows, "k long, t string"), F.col("k"), F.col("t"), SPAN)
+    assert [tuple(r) for r in found.pairs().collect()] in ([(1, 2)], [(1, 3)])
+    assert found.spans().count() == 2
