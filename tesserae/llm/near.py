@@ -5,10 +5,11 @@
    credited for each of its n-grams that another text of a size in reach has; one whose credit is below threshold x
    size can have no partner.
 2. Texts with equal sets are one class; only its representative goes on.
-3. The n-grams of what is left are put into one global order, rarest first, and each text shows only the prefix of its
-   set that a partner must meet. Pairs that meet there and pass the length and position bounds are candidates.
-4. The order is cut into vertical fragments (bands of frequency). The overlap of a candidate pair is counted in each
-   fragment separately, and the partial counts are summed per pair.
+3. The n-grams of what is left are put into one global order, rarest first. The order is cut into vertical fragments of
+   equal numbers of postings, and each text's set into its segments of them. In a fragment two texts meet at an n-gram
+   if it is in the part of both sets that a partner must show; segments before and after bound what a pair can have in
+   common, and pairs that can't reach the threshold are never made.
+4. The overlap of a candidate pair is counted in each fragment separately, and the partial counts are summed per pair.
 
 No step is approximate except that n-grams are compared by 64-bit hashes.
 """
@@ -18,11 +19,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tesserae.session import Scratch
@@ -32,6 +34,11 @@ _WORD = re.compile(r"\w+")
 KEPT_WORDS, BATCH_GRAMS = 1_000_000, 2_000_000
 #: Sizes within a factor of STEP are one size class.
 STEP = 1.1
+#: Vertical fragments of the global order, and parts of it that are measured to find where to cut: steps a doubling of
+#: the frequency, and parts of the n-grams of one step.
+FRAGMENTS, STEPS, PARTS = 8, 16, 64
+#: Characters of text whose n-grams one fragment of the first step holds.
+FRAGMENT_CHARS = 8_000_000
 
 
 class _WordHashes(dict):
@@ -73,10 +80,12 @@ def _seed(kind: str) -> int:
 @dataclass
 class NearDuplicates:
     """``members``: (kind, id, doc, n_grams), the class of each text that has a partner or may have one, named by the
-    ``doc`` of its representative. ``links``: (doc_a, doc_b, similarity) between the representatives of two classes."""
+    ``doc`` of its representative. ``links``: (doc_a, doc_b, similarity) between the representatives of two classes.
+    ``alone``: (kind, id), the other texts of at least the n-gram's width."""
 
     members: DataFrame
     links: DataFrame
+    alone: DataFrame
 
     def pairs(self) -> DataFrame:
         """(kind, id_a, id_b, similarity) of all pairs of texts, those of one class included."""
@@ -89,10 +98,12 @@ class NearDuplicates:
         return both.select("kind", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"), "similarity")
 
     def classes(self) -> DataFrame:
-        """(kind, id, class_id, n_links): one row per text; class_id is the smallest id of the texts with an equal set."""
+        """(kind, id, class_id, n_links): one row per text that takes part; class_id is the smallest id of the texts with
+        an equal set, n_links the number of other classes it is similar to."""
         named = self.members.groupBy("doc").agg(F.min("id").alias("class_id"))
         ends = self.links.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
-        return self.members.join(named, "doc").join(ends, "doc", "left").select("kind", "id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        met = self.members.join(named, "doc").join(ends, "doc", "left").select("kind", "id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return met.unionByName(self.alone.select("kind", "id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def near_duplicates(df: DataFrame, kind: Column, key: Column, text: Column, threshold: float, width: int) -> NearDuplicates:
@@ -104,52 +115,67 @@ def near_duplicates(df: DataFrame, kind: Column, key: Column, text: Column, thre
     """
     spark = df.sparkSession
     work = Scratch(spark, "near")
-    fragments = int(spark.conf.get("spark.sql.shuffle.partitions"))
     items = df.select(kind.alias("kind"), key.cast("string").alias("id"), text.alias("text")).where("kind is not null and id is not null and text is not null")
-    items = work.put(items.withColumn("doc", F.xxhash64("kind", "id")), "items")
+    measured = Observation()
+    items = work.put(items.withColumn("doc", F.monotonically_increasing_id() + 1).observe(measured, F.sum(F.length("text")).alias("chars")), "items")
+    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(measured.get["chars"] or 0) // FRAGMENT_CHARS))
 
     packed = items.mapInArrow(_pack(width, fragments), "fragment int, docs binary, runs binary, classes binary, hashes binary, items array<string>, sizes binary, credits binary, signatures binary")
     credits = packed.groupBy("fragment").applyInArrow(_credit(threshold), "doc bigint, credit int, n int, signature bigint, item string")
     whole = credits.groupBy("doc").agg(F.sum("credit").alias("credit"), F.max("n").alias("n"), F.max("signature").alias("signature"), F.max("item").alias("item"))
-    alive = whole.where(F.col("credit") >= F.lit(threshold) * F.col("n") - 1e-9)
     item = F.split("item", "\u001f", 2)
-    alive = work.put(alive.select("doc", "n", "signature", item[0].alias("kind"), item[1].alias("id")), "alive")
+    able = F.col("credit") >= F.lit(threshold) * F.col("n") - 1e-9
+    whole = work.put(whole.select("doc", "n", "signature", item[0].alias("kind"), item[1].alias("id"), able.alias("able")), "whole")
+    alive = whole.where("able")
     reps = alive.groupBy("kind", "signature", "n").agg(F.min("doc").alias("rep"))
     members = work.put(alive.join(reps, ["kind", "signature", "n"]).select("kind", "id", F.col("rep").alias("doc"), F.col("n").alias("n_grams"), (F.col("doc") == F.col("rep")).alias("own")), "members")
 
     chosen = members.where("own").select("doc", F.col("n_grams").alias("n"))
     grams = items.join(chosen, "doc").select("doc", "kind", "n", "text").mapInArrow(_grams(width), "doc bigint, n int, grams array<bigint>")
     grams = work.put(grams, "grams").select("doc", "n", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = work.put(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    fragment = _fragments(shared)
     least = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
     ordered = grams.join(shared, "gram").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    ordered = work.put(ordered.where(F.size("grams") >= least), "ordered")
+    ordered = ordered.where(F.size("grams") >= least).select("doc", "n", F.transform("grams", lambda g: F.struct(fragment(g["df"], g["gram"]).alias("f"), g["gram"].alias("gram"))).alias("grams"))
+    ordered = work.put(ordered, "ordered")
 
     #: of the n - least + 1 first n-grams in the global order, those no other text has come first and can't meet
     visible = F.col("n") - least + 1 - (F.col("n") - F.size("grams"))
     shown = ordered.select("doc", "n", F.size("grams").alias("m"), F.posexplode(F.slice("grams", F.lit(1), visible.cast("int"))).alias("pos", "g"))
-    shown = shown.select("doc", "n", (F.col("m") - F.col("pos")).alias("left"), F.col("g.gram").alias("gram"))
-    other = shown.select(F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), "gram")
+    shown = shown.select("doc", "n", "pos", (F.col("m") - F.col("pos")).alias("left"), F.col("g.f").alias("f"), F.col("g.gram").alias("gram"))
+    of = lambda side: shown.select(*(F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "pos", "left")), "f", "gram")
     alike = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    met = shown.select(F.col("doc").alias("doc_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), "gram").join(other, "gram").where("doc_a < doc_b").where(alike)
+    # what comes before a common n-gram and what comes from it on bound the overlap
+    reach = F.least("pos_a", "pos_b") + F.least("left_a", "left_b")
     needed = F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    # the first n-gram two sets share bounds their overlap by what is left in each from there on, so the best bound of
-    # a pair over the n-grams it meets at holds
-    best = met.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.max(F.least("left_a", "left_b")).alias("bound"))
-    candidates = work.put(best.where(F.col("bound") >= needed), "candidates")
-
-    # the fragments of the global order: frequencies of equal binary magnitude
-    band = lambda g: F.floor(F.log2(g["df"])).cast("int")
-    bands = F.array_distinct(F.transform("grams", band))
-    cut = F.transform(bands, lambda b: F.struct(b.alias("band"), F.transform(F.filter("grams", lambda g: band(g) == b), lambda g: g["gram"]).alias("part")))
-    parts = ordered.select("doc", F.explode(cut).alias("s")).select("doc", "s.band", "s.part")
-    part_a = parts.select(F.col("doc").alias("doc_a"), "band", F.col("part").alias("part_a"))
-    part_b = parts.select(F.col("doc").alias("doc_b"), "band", F.col("part").alias("part_b"))
-    partial = candidates.join(part_a, "doc_a").join(part_b, ["doc_b", "band"]).select("doc_a", "doc_b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("common"))
+    met = of("a").join(of("b"), ["f", "gram"]).where("doc_a < doc_b").where(alike).where(reach >= needed)
+    candidates = work.put(met.select("doc_a", "doc_b", "n_a", "n_b").distinct(), "candidates")
+
+    segments = F.transform(F.array_distinct("grams.f"), lambda f: F.struct(f.alias("f"), F.transform(F.filter("grams", lambda g: g["f"] == f), lambda g: g["gram"]).alias("part")))
+    parts = ordered.select("doc", F.explode(segments).alias("s")).select("doc", "s.f", "s.part")
+    part_a = parts.select(F.col("doc").alias("doc_a"), "f", F.col("part").alias("part_a"))
+    part_b = parts.select(F.col("doc").alias("doc_b"), "f", F.col("part").alias("part_b"))
+    partial = candidates.join(part_a, "doc_a").join(part_b, ["doc_b", "f"]).select("doc_a", "doc_b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("common"))
     total = partial.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.sum("common").alias("common"))
     union = F.col("n_a") + F.col("n_b") - F.col("common")
     links = total.where(F.col("common") >= F.lit(threshold) * union - 1e-9).select("doc_a", "doc_b", (F.col("common") / union).alias("similarity"))
-    return NearDuplicates(members.drop("own"), work.put(links, "links"))
+    return NearDuplicates(members.drop("own"), work.put(links, "links"), whole.where("not able").select("kind", "id"))
+
+
+def _fragments(shared: DataFrame):
+    """The vertical fragment of an n-gram of frequency ``df``: fragments are ranges of the global order (df, n-gram) with
+    about the same number of postings. The order is measured in at most STEPS a doubling times PARTS parts."""
+    step = lambda df: F.floor(F.log2(df) * STEPS).cast("int")
+    part = lambda gram: F.shiftright(gram, 64 - PARTS.bit_length() + 1).cast("int") + PARTS // 2
+    place = lambda df, gram: step(df) * PARTS + part(gram)
+    sizes = sorted((r["place"], r["n"]) for r in shared.groupBy(place(F.col("df"), F.col("gram")).alias("place")).agg(F.sum("df").alias("n")).collect())
+    total, seen, cuts = sum(n for _, n in sizes), 0, []
+    for at, n in sizes:
+        if seen * FRAGMENTS >= total * (len(cuts) + 1):
+            cuts.append(at)
+        seen += n
+    return lambda df, gram: reduce(lambda c, cut: c + (place(df, gram) >= cut).cast("int"), cuts, F.lit(0))
 
 
 def _pack(width: int, fragments: int):

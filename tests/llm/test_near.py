@@ -60,3 +60,27 @@ def test_empty(spark):
     df = spark.createDataFrame([], "k string, i string, x string")
     found = near.near_duplicates(df, F.col("k"), F.col("i"), F.col("x"), 0.7, 3)
     assert found.pairs().collect() == [] and found.classes().collect() == []
+
+
+def test_classes_have_every_text_of_enough_words(spark):
+    rows = corpus(8) + [("a", "lone", "nothing like this is anywhere else here")]
+    found = near.near_duplicates(spark.createDataFrame(rows, "k string, i string, x string"), F.col("k"), F.col("i"), F.col("x"), 0.7, 3)
+    sets = {(k, i): frozenset(grams(x)) for k, i, x in rows if k is not None and i is not None}
+    got = {(r["kind"], r["id"]): (r["class_id"], r["n_links"]) for r in found.classes().collect()}
+    assert set(got) == {key for key, s in sets.items() if s} and got["a", "lone"] == ("lone", 0)
+    classes = {}
+    for (k, i), s in sets.items():
+        if s:
+            classes.setdefault((k, s), []).append(i)
+    for (k, s), ids in classes.items():
+        others = [t for (q, t) in classes if q == k and t != s and len(s & t) >= 0.7 * len(s | t) - 1e-9]
+        assert all(got[k, i] == (min(ids), len(others)) for i in ids)
+
+
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_any_number_of_fragments_counts_the_same(spark, monkeypatch, n):
+    monkeypatch.setattr(near, "FRAGMENTS", n)
+    monkeypatch.setattr(near, "FRAGMENT_CHARS", 500)
+    rows = corpus(9, 60)
+    found = near.near_duplicates(spark.createDataFrame(rows, "k string, i string, x string"), F.col("k"), F.col("i"), F.col("x"), 0.7, 3)
+    assert {tuple(r)[:3] for r in found.pairs().collect()} == brute(rows, 0.7)
