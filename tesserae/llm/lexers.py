@@ -131,6 +131,7 @@ _GO = re.compile(
     r"|('(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))')"
     r"|(<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~])"
 )
+_GO_NOT_OCTAL = re.compile(r"0_?[0-9_]*[89][0-9_]*")
 _GO_OPS = {**dict.fromkeys("+ - ^ &".split(), "UNARYOP"), "!": "UNARY", **dict.fromkeys("/ % << >> &^ && || == != < <= > >=".split(), "OP"), **dict.fromkeys("+= -= *= /= %= &= |= ^= <<= >>= &^=".split(), "ASSIGN"), "++": "STEP", "--": "STEP"}
 _GO_ENDS = frozenset(["NAME", "NUMBER", "STRING", "break", "continue", "fallthrough", "return", "STEP", ")", "]", "}"])
 
@@ -160,6 +161,8 @@ def lex_go(text: str) -> Tokens:
             last = _GO_OPS.get(word, word)
         else:
             last = "NUMBER" if which == 5 else "STRING" if which == 6 else "NUMBER"
+            if which == 5 and word[0] == "0" and _GO_NOT_OCTAL.fullmatch(word):
+                raise LexError(start)
         kinds.append(last)
         places.append(start)
     if last in _GO_ENDS:
@@ -179,6 +182,14 @@ _JAVA = re.compile(
 _JAVA_OPS = {**dict.fromkeys("/ % << == != <= >= && || ^".split(), "OP"), **dict.fromkeys("+= -= *= /= &= |= ^= %= <<= >>= >>>=".split(), "ASSIGN"), "++": "STEP", "--": "STEP", "+": "SIGN", "-": "SIGN", "!": "NOT", "~": "NOT"}
 
 
+_D, _H = r"[0-9](?:[0-9_]*[0-9])?", r"[0-9a-fA-F](?:[0-9a-fA-F_]*[0-9a-fA-F])?"
+#: Number literals of the language: digits at both ends of a part, octal ones after a leading zero.
+_JAVA_NUMBER = re.compile(
+    rf"(?:0|[1-9](?:[0-9_]*[0-9])?|0_*[0-7](?:[0-7_]*[0-7])?|0[xX]{_H}|0[bB][01](?:[01_]*[01])?)[lL]?"
+    rf"|(?:{_D}\.(?:{_D})?|\.{_D})(?:[eE][+-]?{_D})?[fFdD]?|{_D}(?:[eE][+-]?{_D}[fFdD]?|[fFdD])|0[xX](?:{_H}\.?|(?:{_H})?\.{_H})[pP][+-]?{_D}[fFdD]?"
+)
+
+
 def lex_java(text: str) -> Tokens:
     kinds, places, at, n = [], [], 1 if text[:1] == "\ufeff" else 0, len(text)
     match = _JAVA.match
@@ -212,6 +223,8 @@ def lex_java(text: str) -> Tokens:
             kind = _JAVA_OPS.get(word, word)
         else:
             kind = "LITERAL"
+            if which == 3 and not _JAVA_NUMBER.fullmatch(word):
+                raise LexError(start)
         kinds.append(kind)
         places.append(start)
     return kinds, places

@@ -54,6 +54,38 @@ def test_good_and_bad(language):
                 assert not valid(language, long[:-1])
 
 
+#: Texts that only a grammar wider than the language accepts.
+NARROW = {
+    "python": [
+        "f(a=1, 2)", "f(**a, *b)", "f(**a, b)", "f(x for x in y, 1)", "def f(a=1, b): pass", "def f(*): pass", "def f(*, **k): pass", "def f(/, a): pass", "def f(a, /, b, /): pass",
+        "def f(a, *, /, b): pass", "def f(**k, a): pass", "def f(*a, *b): pass", "def f(a=1, /, b): pass", "lambda *: 1", "lambda a=1, b: 1", "lambda *, **k: 1", "class A(x for x in y): pass",
+        "class A(b=1, c): pass", "del *a", "del f()", "try: pass\nexcept*: pass\n", "try: pass\nexcept A: pass\nexcept* B: pass\n", "try: pass\nexcept A, B: pass\n",
+    ],
+    "java": [f"class A {{ void f() {{ {x} }} }}" for x in ("1;", "a + b;", "x -> y;", "a;", "this.b;", "-a;", "(a);", "a[0];", "new int[3];", "String::new;", '"x";', "for (a; b; c) { }", "for (;; i + 1) { }", "int x = 08;", "int x = 0x;", "int x = 1_;", "int x = 0b2;", "a + b = c;")],
+    "go": [f"package a\nfunc f() {{\n{x}\n}}\n" for x in ("if x == T{} { }", "for x := range T{} { }", "switch x := T{1}; x { }", "if p.T{} == x { }", "f(x){1}", "a[1](){}", "x := 08")],
+}
+#: Their nearest relatives, which are valid.
+NEAR = {
+    "python": [
+        "f(a, *b, c=1, *d, **e, g=2)", "f(*a, b)", "f(a=1, *b)", "f(**a, b=1, **c,)", "f(x for x in y)", "def f(a, b=1, /, c=2, *, d, e=3, f, **g): pass", "def f(a, /): pass", "def f(a, /, b): pass", "def f(a, /, b, c=1,): pass",
+        "def f(a=1, /): pass", "def f(a=1, /, b=2, *c, d): pass", "def f(*, a=1, b): pass", "def f(*a: *b): pass", "def f(**k,): pass", "lambda a, /, b, c=1, *d, e, **f: 1", "lambda *, a: 1", "lambda: 0", "class A(B, *c, d=1, **e): pass", "class A(): pass",
+        "del a, (b, [c.d]), e[0],", "try: pass\nexcept* A: pass\nexcept* (B, C) as d: pass\n", "try: pass\nexcept A: pass\nexcept: pass\n", "f(a := 1, b)", "f(a)(b=1)[c](*d)", "@a(b, c=1)\ndef d(): pass\n",
+    ],
+    "java": [f"class A {{ void f() {{ {x} }} }}" for x in ("a = 1;", "a.b[0] += c;", "i++;", "--i;", "a.b().c();", "new A();", "new A() { };", "b.new C();", "this.<T>f(1);", "super.f();", "for (i = 0, j = 1; i < j; i++, f()) { }", "x = y -> z;", "double x = 08.5; x = 09f; x = 1e5; x = 0x1p3; x = .5; x = 1.; x = 0; x = 07L; x = 0b1_0;", "int[] a = new int[3];", "(a) = 1;", "a().b = 1;", "int x = y = 2;", "String[] s = new String[]{\"a\"};", "List<A> b = new ArrayList<>();", "switch (a) { case 1 -> f(); }", "yield_(); a: for (;;) { break a; }")],
+    "go": [f"package a\nfunc f() {{\n{x}\n}}\n" for x in ("if x == (T{}) { }", "if f(T{}) { }", "for _, x := range []int{1, 2} { }", "switch x := (T{1}); x.a { }", "if x { y = T{} }", "x := p.T{1}", "x := T[int]{1}", "for i := range f(x) { }", "if a[b] { }", "switch { case x == T{}: }", "x := 08.5", "x := 0x_1F + 0o17 + 0b1 + 1_000", "if v, ok := m[T{1}]; ok { }", "x := map[string]T{\"a\": {1}}", "if f := func() bool { return true }; f() { }", "for x.y { }", "if x := y.(T); x { }", "x := []T{{1}}[0].f()", "for i := 0; i < n; i++ { }", "switch x := y.(type) { case T: }")],
+}
+
+
+@pytest.mark.parametrize("language", NARROW)
+def test_grammars_are_no_wider_than_the_languages(language):
+    for text in NARROW[language]:
+        assert not valid(language, text), (language, text)
+        assert language != "python" or not truth("python", text), text
+    for text in NEAR[language]:
+        assert valid(language, text), (language, text)
+        assert language != "python" or truth("python", text), text
+
+
 def truth(language, text):
     try:
         with warnings.catch_warnings():
