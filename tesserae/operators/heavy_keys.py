@@ -1,6 +1,7 @@
 """Per-key distinct sets where a few keys hold most rows.
 
-Rows are range partitioned on the composite (key, value) with sampled quantiles. A heavy key is therefore cut into as
+Repeats of a pair within a batch of input rows are dropped where they are read, so that a pair repeated over and over
+costs one row a batch. Rows are range partitioned on the composite (key, value) with sampled quantiles. A heavy key is therefore cut into as
 many partitions as its share of the rows asks for, while equal (key, value) rows stay together, so duplicates are
 removed inside a partition without a second exchange. Each partition then holds a partial state per key (only the keys
 at its borders continue in a neighbour), and the partial states are stitched by one exchange of one small row per key
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +26,18 @@ def spread_pairs(df: DataFrame, key: Column, value: Column, partitions: int | No
     pruned, whatever their names. An empty input gives an empty result.
     """
     pairs = df.select(key.alias("key"), value.alias("value")).where("key is not null and key <> '' and value is not null")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    if not any(isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) for f in pairs.schema.fields):
+        pairs = pairs.mapInArrow(_once, kinds)
     spread = pairs.repartitionByRange(partitions, "key", "value") if partitions else pairs.repartitionByRange("key", "value")
     return spread.distinct()
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from pa.Table.from_batches([batch]).group_by(["key", "value"]).aggregate([]).to_batches()
+
+
 def distinct_counts(df: DataFrame, key: Column, value: Column, partitions: int | None = None) -> DataFrame:
     """(key, n): number of distinct values of each key; see ``spread_pairs`` for nulls, blanks and ties."""
     return spread_pairs(df, key, value, partitions).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
