@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,25 @@ def diff(scanned: DataFrame, known: DataFrame, key: str, *compared: str) -> Data
     return a.join(b, "k", "full").select(F.col("k").alias(key), status.alias("status"))
 
 
-def upsert(stored: DataFrame, arrived: DataFrame, key: str) -> DataFrame:
+def upsert(stored: DataFrame, arrived: DataFrame, *keys: str) -> DataFrame:
     """Stored rows, replaced or joined by those that arrived; an arrived key counts once and wins."""
-    fresh = arrived.dropDuplicates([key])
-    return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*stored.columns))
+    fresh = arrived.dropDuplicates([*keys])
+    return stored.join(fresh.select(*keys), [*keys], "left_anti").unionByName(fresh.select(*stored.columns))
+
+
+def safe_column_names(names: list[str]) -> list[str]:
+    """Safe names of columns: other characters than ASCII letters and digits as _, c_ before a digit, lower case, col for
+    a blank one; repeated ones get _1, _2 and so on."""
+    out: list[str] = []
+    for name in names:
+        base = re.sub(r"[^a-zA-Z0-9]", "_", name).lower() or "col"
+        base = f"c_{base}" if base[0].isdigit() else base
+        unique, i = base, 0
+        while unique in out:
+            i += 1
+            unique = f"{base}_{i}"
+        out.append(unique)
+    return out
 
 
 def add_columns(stored: DataFrame, extra: DataFrame, row: str = "_row_num") -> DataFrame:
