@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import decisions, dialect, ingestion, knowledge, language, relational, retrieval, strategies, structure
+from tesserae.plans import decisions, dialect, ingestion, knowledge, language, lookups, relational, retrieval, strategies, structure
 
-MODULES = (structure, relational, retrieval, decisions, knowledge, ingestion, dialect, language, strategies)
+MODULES = (structure, relational, retrieval, decisions, knowledge, ingestion, dialect, language, strategies, lookups)
 FLAGSHIP = "retrieve_end_to_end"
 
 
