@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,13 @@ def jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, common / union).otherwise(0.0)
+
+
+def matches_globs(c: Column, globs: list[str]) -> Column:
+    """Whether a text matches any of some file globs (``*`` any characters, slashes too, ``?`` one, ``[...]`` a set);
+    null matches none."""
+    patterns = [fnmatch.translate(g).replace("(?s:", "(?s)(?:") for g in globs]
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | c.rlike("^" + p.replace(r"\Z", "$").replace(r"\z", "$"))
+    return F.coalesce(hit, F.lit(False))
