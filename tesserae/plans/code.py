@@ -20,6 +20,15 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.resolve(edges, code.module_names(_files(spark, sf_dir)))
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, module, target): the files that a file's references lead to, by the last dotted part of their names; of
+    symbols with one name the one with the largest id counts. References to the file itself are left out."""
+    rows = _symbols(spark, sf_dir, "name", "refs")
+    refs = rows.select(F.col("file").alias("source"), F.explode("refs").alias("module")).where("source is not null and module is not null").distinct()
+    names = rows.where("file is not null").groupBy("name").agg(F.max_by("file", "id").alias("target"))
+    return refs.join(names, F.element_at(F.split("module", r"\."), -1) == F.col("name")).where("source <> target").select("source", "module", "target")
+
+
 def _symbols(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return current_table(spark, sf_dir, "symbol_index", "raw_file_id", "start_line", *columns).withColumnRenamed("raw_file_id", "file")
 
@@ -29,7 +38,7 @@ def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.import_summaries(_symbols(spark, sf_dir), _edges(spark, sf_dir))
+    return code.import_summaries(_symbols(spark, sf_dir), _links(spark, sf_dir))
 
 
 def import_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +57,11 @@ def directory_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.staged_retrieval(_selected(spark, sf_dir), _edges(spark, sf_dir), _files(spark, sf_dir), 1, 1)
+    return code.staged_retrieval(_selected(spark, sf_dir), _links(spark, sf_dir), _files(spark, sf_dir), 1, 1)
 
 
 def package_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.package_edges(_edges(spark, sf_dir), _files(spark, sf_dir))
+    return code.package_edges(_links(spark, sf_dir), _files(spark, sf_dir))
 
 
 def symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +133,8 @@ parts AS (SELECT file, path, string_split(regexp_replace(regexp_replace(path, '\
 tails AS (SELECT file, path, p[i:] AS t FROM (SELECT file, path, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
 modules AS (SELECT module, max_by(file, path || chr(1) || file) AS file FROM (SELECT file, path, array_to_string(t, '.') AS module FROM tails UNION SELECT file, path, array_to_string(t, '/') FROM tails) GROUP BY module),
 {_IMPORTS}, edges AS (SELECT source, i.target AS module, m.file AS target FROM imports i LEFT JOIN modules m ON m.module = i.target)"""
+_LINKS = f"""files AS (SELECT id AS file, path FROM {_FILES}), names AS (SELECT name, max_by(raw_file_id, id) AS target FROM {_SYMBOLS} WHERE raw_file_id IS NOT NULL GROUP BY name),
+edges AS (SELECT source, module, target FROM (SELECT DISTINCT raw_file_id AS source, unnest(refs) AS module FROM {_SYMBOLS}) JOIN names ON name = string_split(module, '.')[-1] WHERE source <> target)"""
 _DIR = "regexp_extract(path, '^(.*/)?[^/]*$', 1)"
 _CHOSEN = f"chosen AS (SELECT DISTINCT raw_file_id AS file FROM {_SYMBOLS} WHERE kind = 'class' AND raw_file_id IS NOT NULL)"
 _NEW = f"""new AS (SELECT f.file, {_DIR} AS dir FROM files f WHERE {_DIR} IN (SELECT {_DIR} FROM files WHERE file IN (FROM chosen)) AND file NOT IN (FROM chosen))"""
@@ -137,7 +148,7 @@ QUERIES = {
 }
 SQL = {
     "resolve_imports": f"WITH {_MODULES} SELECT source, module, target FROM edges",
-    "import_summaries": f"""WITH {_MODULES}, s AS (SELECT id, raw_file_id AS file, start_line FROM {_SYMBOLS}),
+    "import_summaries": f"""WITH {_LINKS}, s AS (SELECT id, raw_file_id AS file, start_line FROM {_SYMBOLS}),
 f AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY module, start_line NULLS LAST, s.id) AS place, s.id AS target_id
   FROM (SELECT DISTINCT * FROM edges WHERE target IS NOT NULL) e JOIN s ON s.file = e.target QUALIFY place <= 5)
 SELECT s.id, place, target_id FROM s JOIN f ON s.file = f.source""",
@@ -149,14 +160,14 @@ b AS (SELECT l.file, min(i) AS stop FROM l JOIN a ON l.file = a.file AND i > fir
 SELECT l.file, string_agg(x, chr(10) ORDER BY i) AS block FROM l LEFT JOIN b ON l.file = b.file WHERE imp AND i < coalesce(stop, 1000000000) GROUP BY l.file""",
     "directory_siblings": f"""WITH files AS (SELECT id AS file, path FROM {_FILES}), {_CHOSEN}, {_NEW}
 SELECT file FROM new QUALIFY count(*) OVER (PARTITION BY dir) <= 10""",
-    "code_retrieval": f"""WITH {_MODULES}, {_CHOSEN}, links AS (SELECT DISTINCT source, target FROM edges WHERE target IS NOT NULL AND source <> target), {_NEW},
+    "code_retrieval": f"""WITH {_LINKS}, {_CHOSEN}, links AS (SELECT DISTINCT source, target FROM edges WHERE target IS NOT NULL AND source <> target), {_NEW},
 imported AS (SELECT DISTINCT target AS file FROM links WHERE source IN (FROM chosen)), dirs AS (SELECT {_DIR} AS d FROM files WHERE file IN (FROM chosen) OR file IN (FROM imported)),
 ways AS (SELECT file, 0 AS r FROM chosen UNION ALL SELECT file, 1 FROM imported
   UNION ALL SELECT file, 2 FROM files WHERE regexp_extract(path, '([^/]*)$', 1) IN ('__init__.py', 'index.ts') AND {_DIR} IN (SELECT d FROM dirs)
   UNION ALL (SELECT source, 3 FROM links GROUP BY source HAVING count(*) > 1 ORDER BY count(*) DESC, source LIMIT 10)
   UNION ALL SELECT target, 4 FROM links GROUP BY target HAVING count(*) > 1 UNION ALL SELECT file, 5 FROM new)
 SELECT file, ['selected', 'import', 'facade', 'hub', 'foundation', 'neighbor'][min(r) + 1] AS origin, [1.0, 0.95, 0.93, 0.92, 0.9, 0.8][min(r) + 1]::DOUBLE AS score FROM ways GROUP BY file""",
-    "package_dependencies": f"""WITH {_MODULES}, p AS (SELECT file, string_split(path, '/')[1] AS package FROM files WHERE path LIKE '%/%')
+    "package_dependencies": f"""WITH {_LINKS}, p AS (SELECT file, string_split(path, '/')[1] AS package FROM files WHERE path LIKE '%/%')
 SELECT DISTINCT a.package, b.package AS uses FROM edges e JOIN p a ON a.file = e.source JOIN p b ON b.file = e.target WHERE a.package <> b.package""",
     "symbol_lines": f"""SELECT s.id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT s.id, array_to_string((string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)))[greatest(start_line, 1):end_line], chr(10)) AS t
   FROM {_SYMBOLS} s JOIN {_FILES} f ON s.raw_file_id = f.id WHERE content IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL) s""",
