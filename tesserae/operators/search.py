@@ -11,13 +11,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import tokens
+from tesserae.session import Scratch
 
 #: Queries sent to all tasks at once (documented bound).
 QUERY_BLOCK = 16_384
+#: Queries multiplied with a batch of rows at once.
+QUERY_TILE = 512
 
 
 def ranked(df: DataFrame, score: str, *by: str, key: str = "id", k: int | None = None, name: str = "rank") -> DataFrame:
@@ -33,6 +37,76 @@ def _block(df: DataFrame) -> tuple[list, np.ndarray]:
     return [r["qid"] for r in rows], x
 
 
+def _unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the usable vectors of a batch, and those vectors at length one."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+    at = np.flatnonzero(sizes == dims)
+    v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dims)
+    size = np.linalg.norm(v, axis=1)
+    good = np.isfinite(size) & (size > 0)
+    return at[good], v[good] / size[good][:, None]
+
+
+def nearest(data: DataFrame, centers: DataFrame) -> DataFrame:
+    """(id, center, score): for each row of ``data`` (id, vector) the one of ``centers`` (id, vector) with the highest
+    cosine; ties go to the first center in the order of ids. The centers, a fitted set, go to the rows; rows do not
+    move. Unusable vectors take no part."""
+    known = centers.where("vector is not null").orderBy("id").collect()
+    x = np.array([r["vector"] for r in known], np.float64).reshape(len(known), -1)
+    norms = np.linalg.norm(x, axis=1) if len(known) else np.empty(0)
+    good = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+    shared = data.sparkSession.sparkContext.broadcast(([known[i]["id"] for i in good], x[good] / norms[good][:, None] if len(good) else x))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(centers.schema["id"].dataType)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c = shared.value
+        for batch in batches if names else ():
+            at, v = _unit_rows(batch.column(1), c.shape[1])
+            s = np.round(v @ c.T, 9)
+            best = s.argmax(axis=1)
+            columns = [batch.column(0).take(pa.array(at)), pa.array(names, kind).take(pa.array(best)), pa.array(s[np.arange(len(s)), best], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "center", "score"])
+
+    return data.select("id", "vector").mapInArrow(score, f"id {data.schema['id'].dataType.simpleString()}, center {centers.schema['id'].dataType.simpleString()}, score double")
+
+
+def best_by_group(data: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, group, score): for each of ``queries`` (qid, vector), a stated set, and each group of ``data`` (group,
+    vector) the highest cosine, in one scan: every batch sends one row for each query and group that it holds."""
+    ids, x = _block(queries.where("vector is not null"))
+    norms = np.linalg.norm(x, axis=1) if len(ids) else np.empty(0)
+    good = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+    shared = data.sparkSession.sparkContext.broadcast(([ids[i] for i in good], x[good] / norms[good][:, None] if len(good) else x))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(queries.schema["qid"].dataType)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        for batch in batches if names else ():
+            at, v = _unit_rows(batch.column(1), q.shape[1])
+            if not len(at):
+                continue
+            groups = batch.column(0).take(pa.array(at)).dictionary_encode()
+            code = np.asarray(groups.indices.fill_null(len(groups.dictionary)))
+            order = np.argsort(code, kind="stable")
+            held, first = np.unique(code[order], return_index=True)
+            values = groups.dictionary.take(pa.array(held, pa.int64(), mask=held == len(groups.dictionary)))
+            for a in range(0, len(names), QUERY_TILE):
+                s = np.maximum.reduceat(v[order] @ q[a : a + QUERY_TILE].T, first, axis=0)
+                n = s.shape[1]
+                columns = [pa.array(names[a : a + QUERY_TILE] * len(held), kind), values.take(pa.array(np.repeat(np.arange(len(held)), n))), pa.array(s.ravel(), pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", "group", "score"])
+
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, group {data.schema['group'].dataType.simpleString()}, score double"
+    found = data.select("group", "vector").mapInArrow(score, schema)
+    return found.groupBy("qid", "group").agg(F.round(F.max("score"), 9).alias("score"))
+
+
 def knn(data: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """(qid, id, score, rank): of ``data`` (id, vector) the ``k`` rows with the highest cosine for each of ``queries``
     (qid, vector), exactly.
@@ -56,24 +130,18 @@ def knn(data: DataFrame, queries: DataFrame, k: int, floor: float | None = None)
             if not qids:
                 return
             for batch in batches:
-                keys, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                keep = [i for i, v in enumerate(vectors) if v is not None and len(v) == q.shape[1] and None not in v]
-                v = np.array([vectors[i] for i in keep], np.float64).reshape(len(keep), q.shape[1])
-                size = np.linalg.norm(v, axis=1)
-                usable = np.isfinite(size) & (size > 0)
-                keep, v = [i for i, u in zip(keep, usable) if u], v[usable] / size[usable][:, None]
-                out_q, out_k, out_s = [], [], []
-                if keep:
-                    s = q @ v.T
-                    for r in range(len(qids)):
-                        row = s[r]
-                        edge = np.partition(row, -k)[-k] if len(row) > k else -2.0
-                        at = np.flatnonzero(row >= edge - 1e-12)
-                        at = at if floor is None else at[row[at] >= floor]
-                        out_q += [qids[r]] * len(at)
-                        out_k += [keys[keep[i]] for i in at]
-                        out_s.append(row[at])
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, qid_type), pa.array(out_k, batch.schema.field(0).type), pa.array(np.concatenate(out_s) if out_s else [], pa.float64())], ["qid", "id", "score"])
+                at, v = _unit_rows(batch.column(1), q.shape[1])
+                out_q, out_k, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+                for first in range(0, len(qids) if len(at) else 0, QUERY_TILE):
+                    s = q[first : first + QUERY_TILE] @ v.T
+                    edge = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+                    r, c = np.nonzero((s >= edge[:, None] - 1e-12) & (True if floor is None else s >= floor))
+                    out_q.append(r + first)
+                    out_k.append(at[c])
+                    out_s.append(s[r, c])
+                found_q = pa.array(qids, qid_type).take(pa.array(np.concatenate(out_q)))
+                found_k = batch.column(0).take(pa.array(np.concatenate(out_k)))
+                yield pa.RecordBatch.from_arrays([found_q, found_k, pa.array(np.concatenate(out_s), pa.float64())], ["qid", "id", "score"])
 
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -84,15 +152,19 @@ def knn(data: DataFrame, queries: DataFrame, k: int, floor: float | None = None)
     return ranked(scored, "score", "qid", k=k)
 
 
-def term_matches(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def term_matches(docs: DataFrame, queries: DataFrame, seen: Observation | None = None) -> DataFrame:
     """(qid, id, term, qf, tf, n_tokens): for each query term its count in each text that has it.
 
     ``docs``: (id, text); ``queries``: (qid, text), a stated set of short texts. Only the terms of all queries, some
-    kB, go to the texts; only matches leave them, so no postings are shuffled.
+    kB, go to the texts; only matches leave them, so no postings are shuffled. ``seen`` takes the number of texts and
+    their average number of tokens from the same pass.
     """
     terms = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qf"))
     wanted = [r["term"] for r in terms.select("term").distinct().orderBy("term").collect()]
     sized = docs.select("id", tokens(F.col("text")).alias("t"))
+    if seen is not None:
+        n = F.when(F.col("t").isNotNull(), F.size("t"))
+        sized = sized.observe(seen, F.count(n).alias("n_docs"), F.avg(n).alias("avg_tokens"))
     listed = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
     hits = sized.select("id", F.size("t").alias("n_tokens"), F.filter("t", lambda t: F.array_contains(listed, t)).alias("hits")).where(F.size("hits") > 0)
     counts = hits.select("id", "n_tokens", "hits", F.explode(F.array_distinct("hits")).alias("term"))
@@ -109,9 +181,9 @@ def lexical_saturated(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, all_terms: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi scores over all documents; with ``all_terms`` only texts that have every term of the query."""
-    matches = term_matches(docs, queries)
-    stats = docs.select(F.size(tokens(F.col("text"))).alias("n")).where("n >= 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_tokens")).first()
-    n_docs, average = stats["n_docs"], stats["avg_tokens"] or 1.0
+    seen = Observation()
+    matches = Scratch(docs.sparkSession, "matches").put(term_matches(docs, queries, seen), "matches")  # texts are read once
+    n_docs, average = seen.get["n_docs"], seen.get["avg_tokens"] or 1.0
     per_term = matches.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("qf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / average))
@@ -126,8 +198,14 @@ def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(qid, id, n): texts that hold the tokens of a phrase one after the other, and how often."""
     spaced = docs.select("id", F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), "  "), F.lit(" ")).alias("t"))
     rows = phrases.select("qid", F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), "  "), F.lit(" ")).alias("p")).where("p <> '  '").collect()
-    found = [spaced.select(F.lit(r["qid"]).alias("qid"), "id", F.expr("(length(t) - length(replace(t, '" + r["p"].replace("'", "\\'") + "', ''))) / " + str(len(r["p"]))).cast("int").alias("n")).where("n > 0") for r in rows]
-    return reduce(DataFrame.unionByName, found)
+    kind = phrases.schema["qid"].dataType
+    stated = F.array(*(F.struct(F.lit(r["qid"]).cast(kind).alias("qid"), F.lit(r["p"]).alias("p")) for r in rows))
+    if not rows:
+        return spaced.select(F.lit(None).cast(kind).alias("qid"), "id", F.lit(0).alias("n")).where(F.lit(False))
+    held = F.filter(stated, lambda s: F.col("t").contains(s["p"]))
+    met = spaced.select("id", "t", F.explode(held).alias("s"))
+    n = (F.length("t") - F.length(F.replace(F.col("t"), F.col("s.p"), F.lit("")))) / F.length("s.p")
+    return met.select("s.qid", "id", n.cast("int").alias("n"))
 
 
 def web_search(docs: DataFrame, must: list[str], any_of: list[str], without: list[str], phrase: str | None = None) -> DataFrame:

@@ -54,19 +54,14 @@ def centroid_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     mean = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centers = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
-    best = search.knn(centers.select(F.col("label").alias("id"), "vector"), rows.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), 1)
-    return best.select(F.col("qid").alias("vec_id"), F.col("id").alias("label"), "score")
+    best = search.nearest(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), centers.select(F.col("label").alias("id"), "vector"))
+    return best.select(F.col("id").alias("vec_id"), F.col("center").alias("label"), "score")
 
 
 def concept_max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each stated query vector and label the highest cosine to a vector of the label."""
-    rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    n = rows.agg(F.max("label")).first()[0]
-    parts = [search.knn(rows.where(F.col("label") == i), _hundredths(spark, sf_dir), 1).select("qid", F.lit(i).alias("label"), "score") for i in range((n or -1) + 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), F.col("embedding").alias("vector"))
+    return search.best_by_group(rows, _hundredths(spark, sf_dir)).withColumnRenamed("group", "label")
 
 
 def lexical_tf_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
