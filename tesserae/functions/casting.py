@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The words that are booleans, and the forms that are dates.
 TRUE, FALSE = ("true", "yes", "1", "t", "y"), ("false", "no", "0", "f", "n")
-DATES = (r"^\d{4}-\d{2}-\d{2}", r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}-\d{2}-\d{4}$", r"^\d{4}/\d{2}/\d{2}$", r"^[A-Za-z]{3} \d{1,2}, \d{4}$")
+DATES = (r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}-\d{1,2}-\d{4}$", r"^\w+ \d{1,2},? \d{4}$", r"^\d{1,2} \w+ \d{4}$")
 
 
 def infer_type(c: Column) -> Column:
@@ -16,7 +16,7 @@ def infer_type(c: Column) -> Column:
     number = F.regexp_replace(t, ",", "").try_cast("double").isNotNull()
     date = F.lit(False)
     for form in DATES:
-        date = date | t.rlike(form)
+        date = date | t.rlike(f"(?U){form}")
     return F.when(c.isNull() | (t == ""), None).when(F.lower(t).isin(*TRUE, *FALSE), "boolean").when(number, "number").when(date, "date").otherwise("string")
 
 

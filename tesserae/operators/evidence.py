@@ -35,7 +35,7 @@ def sufficiency(row: DataFrame, low: float = 0.45, middle: float = 0.70) -> Data
 def govern(signals: DataFrame, by: str, signal: Column, similarity: Column, weak: float = 0.70) -> DataFrame:
     """(key, mode): abstain before disputed before trustworthy; disputed counts as trustworthy where evidence is also
     qualified and the similarity is weak."""
-    has = lambda kind: F.max((signal == kind).cast("int")) == 1
+    has = lambda kind: F.coalesce(F.max((signal == kind).cast("int")), F.lit(0)) == 1
     rows = signals.groupBy(F.col(by).alias("key")).agg(has("abstain").alias("a"), has("disputed").alias("d"), has("qualified").alias("q"), F.max(similarity).alias("s"))
     mode = F.when(F.col("a"), "abstain").when(F.col("d") & ~(F.col("q") & (F.coalesce("s", F.lit(1.0)) < weak)), "disputed").otherwise("trustworthy")
     return rows.select("key", mode.alias("mode"))

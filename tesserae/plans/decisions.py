@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import decision_log as log
+from tesserae.operators import evidence
 from tesserae.streaming.log import read_files, stream_last_state, stream_trend
 from tesserae.tables import table
 
@@ -83,9 +84,11 @@ def json_payload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def governor_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mode of each key from its signals: abstain before disputed before trustworthy; disputed falls back to
     trustworthy where evidence is only qualified and weak."""
-    rows = _events(spark, sf_dir).groupBy("user_id").agg(F.max((F.col("event_type") == "error").cast("int")).alias("abstain"), F.max(((F.col("event_type") == "click") & (F.col("value") > 100)).cast("int")).alias("disputed"), F.max((F.col("event_type") == "view").cast("int")).alias("qualified"), F.max("value").alias("top"))
-    mode = F.when((F.col("abstain") == 1) & (F.col("top") > 150), "abstain").when((F.col("disputed") == 1) & ~((F.col("qualified") == 1) & (F.col("top") < 130)), "disputed").otherwise("trustworthy")
-    return rows.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+    top = F.max("value").over(Window.partitionBy("user_id"))
+    rows = _events(spark, sf_dir).withColumn("top", top)
+    kind = F.when((F.col("event_type") == "error") & (F.col("top") > 150), "abstain").when((F.col("event_type") == "click") & (F.col("value") > 100), "disputed").when(F.col("event_type") == "view", "qualified")
+    modes = evidence.govern(rows.withColumn("signal", kind), "user_id", F.col("signal"), F.col("value"), weak=130)
+    return modes.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
 
 
 def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:

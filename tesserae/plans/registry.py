@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import code, decisions, dialect, evidence, ingestion, knowledge, language, lookups, relational, retrieval, strategies, structure
+from tesserae.plans import code, decisions, dialect, documents, evidence, ingestion, knowledge, language, lookups, relational, retrieval, strategies, structure
 
-MODULES = (structure, relational, retrieval, decisions, knowledge, ingestion, dialect, language, strategies, lookups, code, evidence)
+MODULES = (structure, relational, retrieval, decisions, knowledge, ingestion, dialect, language, strategies, lookups, code, evidence, documents)
 FLAGSHIP = "retrieve_end_to_end"
 
 

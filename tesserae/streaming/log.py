@@ -17,14 +17,15 @@ def read_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def _drain(stream: DataFrame, work: Scratch, mode: str, name: str) -> DataFrame:
-    """Runs a streaming plan over all that is there and gives the result table as it then stands."""
+    """Runs a streaming plan over all that is there and gives the result table as it then stands. A batch is written
+    under its number, so one that is run again replaces itself."""
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(work.path(name))
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(work.path(name if mode == "complete" else f"{name}/batch={number}"))
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", work.path(f"{name}-state")).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(work.path(name))
+    return stream.sparkSession.read.schema(stream.schema).parquet(work.path(name)).select(*stream.columns)
 
 
 def stream_trend(stream: DataFrame, ts: str, mode: str, of: str, length: str) -> DataFrame:
