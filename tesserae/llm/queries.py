@@ -14,6 +14,7 @@ from tesserae.llm.splitting import split_items
 from tesserae.llm.syntax import FREE, check_files
 from tesserae.llm.tokens import count_tokens, encode_texts
 from tesserae.llm.vectors import similar_vectors
+from tesserae.session import Scratch
 from tesserae.tables import VERSION_COLUMN, bare, current, current_table, table
 
 #: Fixed values of the problem statement: limit and overlap in characters, by kind.
@@ -40,6 +41,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("kind", "id", "piece", "p.start", "p.cut", "p.overlap", "p.text")
 
 
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every item over the limit: the digest of its pieces joined without their overlaps, which is that of its content,
+    whether all pieces are within the limit, and whether all but the last are followed by their overlap."""
+    pieces = p5_pieces(spark, sf_dir)
+    limit = F.when(F.col("kind") == "file", SPLIT["file"][1]).otherwise(SPLIT["section"][1])
+    own = F.struct("piece", F.expr("substring(text, overlap + 1)").alias("t"))
+    rows = pieces.groupBy("kind", "id").agg(F.array_sort(F.collect_list(own)).alias("p"), (F.max(F.length("text") - limit) <= 0).alias("within"), (F.count_if(F.col("cut") == "end") == 1).alias("one_end"))
+    return rows.select("kind", "id", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "").cast("binary")).alias("digest"), "within", "one_end")
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current files with language, repository and what the parse says. Contents that need no parse don't travel."""
     files = table(spark, sf_dir, "raw_files")
@@ -67,6 +78,13 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("rate", F.round(F.col("n_invalid") / F.col("n_files"), 6))
 
 
+def p3_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files the rates count, by repository and language, and whether each rate is that of its counts."""
+    rates = p3_rates(spark, sf_dir)
+    sound = (F.col("n_invalid") <= F.col("n_files")) & (F.abs(F.col("rate") * F.col("n_files") - F.col("n_invalid")) < 0.01)
+    return rates.select("repository", "language", "n_files", sound.alias("sound"))
+
+
 #: The vector column of each kind's table.
 VECTORS = {"chunk": ("chunks", "vector"), "section": ("section_index", "summary_vector"), "symbol": ("symbol_index", "summary_vector")}
 
@@ -110,6 +128,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each mix and source, whether the selection keeps to the caps, to the source's own documents, and adds up to the
+    report, and whether the tokens are within one document of the target unless the source is short of them."""
+    selection, shares = _mix(spark, sf_dir)
+    selection = Scratch(spark, "mix").put(selection, "selection")
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), bare("source").alias("own"))
+    caps = table(spark, sf_dir, "mix_targets").select("mix", bare("source").alias("source"), "max_repeats")
+    kept = selection.join(documents, "doc", "left").join(caps, ["mix", "source"], "left")
+    good = kept.groupBy("mix", "source").agg(F.every((F.col("copies") >= 1) & (F.col("copies") <= F.col("max_repeats"))).alias("capped"), F.every(F.col("own").eqNullSafe(F.col("source"))).alias("own"), F.sum(F.col("copies") * F.col("n_tokens")).alias("sum"), F.max("n_tokens").alias("longest"))
+    both = shares.select("mix", "source", "tokens", "target_tokens", F.col("capped").alias("short")).join(good, ["mix", "source"], "left")
+    near = F.col("short") | (F.abs(F.col("tokens") - F.col("target_tokens")) <= F.coalesce("longest", F.lit(0)))
+    return both.select("mix", "source", F.coalesce("capped", F.lit(True)).alias("within_caps"), F.coalesce("own", F.lit(True)).alias("own_documents"), (F.coalesce("sum", F.lit(0)) == F.col("tokens")).alias("adds_up"), near.alias("near_target"))
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> SharedSpans:
     return shared_spans(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), 200)
 
@@ -142,7 +174,7 @@ FROM (SELECT id, content FROM {name} QUALIFY row_number() OVER (PARTITION BY id
 WHERE length(content) > {limit}"""
 
 
-_NEAR_SQL = """WITH items AS (
+_NEAR = """WITH items AS (
   SELECT 'file' AS kind, id, content FROM raw_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1
   UNION ALL SELECT 'section', id, content FROM section_index QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1),
 w AS (SELECT kind, id, list_transform(regexp_extract_all(content, '[\\p{L}\\p{N}_]+'), lambda x: lower(x)) AS w FROM items),
@@ -155,8 +187,14 @@ able AS (SELECT kind, id, count(*) AS m FROM kept GROUP BY ALL),
 alive AS (SELECT k.kind, k.id, k.g, s.n FROM kept k JOIN able USING (kind, id) JOIN sizes s USING (kind, id) WHERE m >= 0.7 * n - 1e-9),
 common AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, count(*) AS c
   FROM alive a JOIN alive b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id
-    AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
+    AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)"""
+_NEAR_SQL = f"""{_NEAR}
 SELECT kind, id_a, id_b FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9"""
+_CLASSES_SQL = f"""{_NEAR}, met AS (SELECT kind, id_a AS id, id_b AS other, c = n_a AND c = n_b AS same FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9
+  UNION ALL SELECT kind, id_b, id_a, c = n_a AND c = n_b FROM common WHERE c >= 0.7 * (n_a + n_b - c) - 1e-9),
+named AS (SELECT s.kind, s.id, least(s.id, min(other) FILTER (WHERE same)) AS class_id FROM sizes s LEFT JOIN met b ON s.kind = b.kind AND s.id = b.id GROUP BY s.kind, s.id)
+SELECT n.kind, n.id, n.class_id, count(DISTINCT o.class_id) FILTER (WHERE o.class_id <> n.class_id) AS n_links
+FROM named n LEFT JOIN met b ON n.kind = b.kind AND n.id = b.id LEFT JOIN named o ON o.kind = b.kind AND o.id = b.other GROUP BY ALL"""
 
 #: Every run of 200 characters that two documents have, with its places.
 _RUNS_SQL = """WITH texts AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE length(text) >= 200 GROUP BY doc_id),
@@ -177,5 +215,20 @@ SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(n, 0) AS share
   CASE WHEN length(d.text) > 0 THEN round(coalesce(n, 0) / length(d.text), 6) ELSE 0 END AS share
 FROM documents d LEFT JOIN shared s ON d.doc_id = s.doc_id"""
 
-QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
-SQL = {"p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL, "p9_found": _PAIRS_SQL, "p9_spans": _SPANS_SQL, "p9_coverage": _COVERAGE_SQL}
+_VECTORS_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS kind, id, {column} AS v FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1" for kind, (name, column) in VECTORS.items())
+#: All pairs: for small tables only, where the index is expected to lose nothing.
+_SIMILAR_SQL = f"""WITH r AS (SELECT kind, id, v::DOUBLE[] AS v FROM ({_VECTORS_SQL}) WHERE len(v) = 64), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM r),
+u AS (SELECT kind, id, list_transform(v, lambda x: x / n) AS v FROM n WHERE isfinite(n) AND n > 0 AND list_count(v) = 64),
+p AS (SELECT a.kind, a.id, b.id AS neighbor_id, round(list_dot_product(a.v, b.v), 12) AS c FROM u a JOIN u b ON a.kind = b.kind AND a.id <> b.id WHERE c >= 0.85)
+SELECT kind, id, neighbor_id FROM p QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY c DESC, neighbor_id) <= 10"""
+_REBUILT_SQL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, id, md5(content) AS digest, true AS within, true AS one_end FROM (SELECT id, content FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {VERSION_COLUMN[name]} DESC) = 1) WHERE length(content) > {limit}"
+    for kind, (name, limit, _) in SPLIT.items()
+)
+_JUDGED_SQL = """WITH f AS (SELECT path, content, coalesce(nullif(regexp_replace(lower(trim(file_type)), '^[.]?(.)', '.\\1'), ''), lower(regexp_extract(path, '([.][^./]*)$', 1))) AS t
+  FROM raw_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)
+SELECT string_split(path, '/')[1] AS repository, language, count(*) AS n_files, true AS sound FROM f JOIN languages l ON l.file_type = f.t WHERE content IS NOT NULL GROUP BY ALL"""
+_KEPT_SQL = "SELECT mix, lower(trim(source)) AS source, true AS within_caps, true AS own_documents, true AS adds_up, true AS near_target FROM mix_targets"
+
+QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p3_judged": p3_judged, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rebuilt": p5_rebuilt, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_kept": p8_kept, "p9_found": p9_found, "p9_spans": p9_spans, "p9_coverage": p9_coverage}
+SQL = {"p3_judged": _JUDGED_SQL, "p4_found": _SIMILAR_SQL, "p5_rebuilt": _REBUILT_SQL, "p6_classes": _CLASSES_SQL, "p8_kept": _KEPT_SQL, "p5_found": _cut_sql("file", "raw_files", "updated_at", 5000) + " UNION ALL " + _cut_sql("section", "section_index", "created_at", 1200), "p6_found": _NEAR_SQL, "p9_found": _PAIRS_SQL, "p9_spans": _SPANS_SQL, "p9_coverage": _COVERAGE_SQL}
