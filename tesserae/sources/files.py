@@ -12,7 +12,8 @@ AUTHORITY = (("spec", r"/(?:spec|specs|requirements|rfc)/|/(?:spec\.|requirement
 
 
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, suffix, size, modified, hash, content) of all files below a folder, hidden parts skipped."""
+    """(path, suffix, size, modified, hash, content) of all files below a folder, hidden parts skipped. Files of no bytes
+    are not read by the format and do not appear."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     return files.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), "content").where(~F.col("path").rlike(r"/\.[^/]"))
