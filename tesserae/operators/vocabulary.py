@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import normalize
@@ -70,3 +70,68 @@ def families(text: Column) -> Column:
     """The families of evidence a text shows, as an array."""
     low = F.lower(text)
     return F.filter(F.array(*(F.when(low.rlike(p), F.lit(f)) for f, p in FAMILIES)), lambda x: x.isNotNull())
+
+#: Forms of keywords, case aside: (category, pattern, least occurrences of the category).
+KEYWORD_FORMS = (
+    ("testcase", r"\b(TC[_\-]?\d+)\b", 1),
+    ("testcase", r"\b(testcase[_\-\s]?\d+)\b", 1),
+    ("ticket", r"\b([A-Z]{2,5}-\d{3,})\b", 1),
+    ("pull_request", r"\b(PR[_\-\s#]?\d+)\b", 1),
+    ("pull_request", r"\b(pull\s*request[_\-\s#]?\d+)\b", 1),
+    ("version", r"\b(v\d+\.\d+(?:\.\d+)?(?:-\w+)?)\b", 2),
+    ("version", r"\b(\d+\.\d+\.\d+(?:-\w+)?)\b", 2),
+    ("person", r"\b([A-Z][a-z]+\s[A-Z][a-z]+)\b", 2),
+    ("file", r"\b(\w+\.(?:yaml|yml|json|py|md|txt|pdf|docx?|xlsx?))\b", 1),
+    ("internal_id", r"\b([A-Z]{1,4}\d{3,})\b", 1),
+)
+#: Further spellings by category, from the parts of a keyword ($1 and so on).
+CATEGORY_SPELLINGS = {
+    "testcase": (r"(?i)^TC[_\-\s]?(\d+).*$", ("testcase $1", "testcase_$1", "testcase-$1", "test case $1", "test_case_$1", "test-case-$1", "test $1", "test_$1", "TC$1", "TC-$1", "TC_$1", "tc$1", "tc-$1", "tc_$1")),
+    "pull_request": (r"(?i)^PR[_\-\s#]?(\d+).*$", ("PR $1", "PR-$1", "PR#$1", "PR$1", "pr $1", "pr-$1", "pr#$1", "pr$1", "pull request $1", "pull request #$1", "pull-request-$1")),
+    "version": (r"(?i)^v?(\d+\.\d+(?:\.\d+)?(?:-\w+)?).*$", ("v$1", "V$1", "$1", "version $1", "Version $1", "release $1", "Release $1")),
+}
+
+
+def detect_keywords(df: DataFrame, key: Column, text: Column, case: bool = False) -> DataFrame:
+    """(keyword, category, n, n_sources, first_source): what the keyword forms find in all texts, often enough for its
+    category. A keyword that several forms find has the category of the first one in the first source. ``case`` asks for
+    the case of the forms too."""
+    flag = "" if case else "(?i)"
+    forms = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("category"), F.lit(least).alias("least"), F.regexp_extract_all(text, F.lit(flag + p), F.lit(1)).alias("hits")) for i, (c, p, least) in enumerate(KEYWORD_FORMS)))
+    found = df.select(key.alias("key"), F.explode(forms).alias("f")).select("key", "f.i", "f.category", "f.least", F.explode("f.hits").alias("k"))
+    per_source = found.groupBy(F.lower(F.trim("k")).alias("keyword"), "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "category", "least")).alias("c"))
+    merged = per_source.groupBy("keyword").agg(F.min_by("c", "key").alias("c"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_sources"), F.min("key").alias("first_source"))
+    return merged.where(F.col("n") >= F.col("c.least")).select("keyword", "c.category", "n", "n_sources", "first_source")
+
+
+def category_spellings(keyword: Column, category: Column) -> Column:
+    """The spellings that keywords of a category have beside those of ``variations``, sorted and distinct."""
+    none = F.array().cast("array<string>")
+    out = none
+    for name, (form, spellings) in CATEGORY_SPELLINGS.items():
+        made = F.array(*(F.regexp_replace(keyword, form, s) for s in spellings))
+        out = F.when((category == name) & keyword.rlike(form), made).otherwise(out)
+    prefix, number = (F.regexp_extract(keyword, r"(?i)^([A-Z]+)[_\-\s]?(\d+)", i) for i in (1, 2))
+    joined = [F.concat(p, F.lit(sep), number) for p in (F.upper(prefix), F.lower(prefix)) for sep in ("", "-", "_")] + [F.concat(p, F.lit(" "), number) for p in (prefix, F.lower(prefix))]
+    out = F.when((category == "ticket") & (number != ""), F.array(*joined)).otherwise(out)
+    first, last = F.regexp_extract(keyword, r"^(\S+)\s+.*?(\S+)$", 1), F.regexp_extract(keyword, r"^(\S+)\s+.*?(\S+)$", 2)
+    initial = F.substring(first, 1, 1)
+    people = [F.concat(initial, F.lit(". "), last), F.concat(F.lower(initial), F.lit(". "), F.lower(last)), F.concat(F.lower(initial), F.lower(last)), F.concat(F.lower(first), F.lit("."), F.lower(last))]
+    out = F.when((category == "person") & (first != ""), F.array(*people)).otherwise(out)
+    return F.array_sort(F.array_distinct(out))
+
+
+def keywords_in(texts: DataFrame, keywords: DataFrame, most_words: int = 4) -> DataFrame:
+    """(id, keyword): keywords (keyword, spelling) that a text (id, text) has in any spelling as whole words.
+
+    Separators and case do not count. Texts become their runs of up to ``most_words`` words and meet the spellings in a
+    join of equals, so neither side is compared with all of the other; longer spellings find nothing."""
+    spelled = keywords.select("keyword", normalize(F.col("spelling")).alias("run")).where("run <> ''").distinct()
+    words = F.filter(F.split(F.regexp_replace(normalize(F.col("text")), r"[^\p{L}\p{N}#.+]+", " "), r"\s+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[.#+]+(?=\S)|[.]+$", ""))
+    cut = texts.where("text is not null").select("id", F.posexplode(bare).alias("i", "w"))
+    w = Window.partitionBy("id").orderBy("i")
+    ahead = cut.select("id", F.array("w", *(F.lead("w", n).over(w) for n in range(1, most_words))).alias("ws"))
+    lengths = F.sequence(F.lit(1), F.size(F.array_compact("ws")))
+    made = ahead.select("id", F.explode(F.transform(lengths, lambda n: F.array_join(F.slice("ws", F.lit(1), n), " "))).alias("run"))
+    return made.join(spelled, "run").select("id", "keyword").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae import store
+from tesserae.operators import vocabulary
 from tesserae.plans.knowledge import _edges, _imports
 from tesserae.session import Scratch
 from tesserae.tables import current_table, squeeze, table
@@ -147,6 +148,17 @@ def documents_by_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
+def detected_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.detect_keywords(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), True).select("keyword", "n", "n_sources", "first_source")
+
+
+def keywords_in_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of all sections' keywords each section has in its content, whatever its own are."""
+    texts = current_table(spark, sf_dir, "section_index", "content").withColumnRenamed("content", "text")
+    words = _keywords(spark, sf_dir, "section_index").select(F.col("id").alias("keyword"), F.col("id").alias("spelling"))
+    return vocabulary.keywords_in(texts, words).groupBy("keyword").agg(F.count(F.lit(1)).alias("n_sections"), F.min("id").alias("first_id"))
+
+
 def _current(name: str, columns: str, version: str = "created_at") -> str:
     return f"(SELECT {columns} FROM (SELECT * FROM {name} WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {version} DESC) = 1))"
 
@@ -175,6 +187,7 @@ QUERIES = {
     for q in (
         files_by_id, file_hashes, file_timestamps, symbols_by_file, sections_by_file, summaries_by_position, cascade_counts, imports_of_file, importers_of_module, first_chunks_of_entity,
         edges_without_lost_chunks, vocabulary_merge, vocabulary_categories, stored_upsert, stored_delete_by_file, stored_table_registry, table_json, derived_invalidate, collection_stats, documents_by_collection,
+        detected_keywords, keywords_in_sections,
     )
 }
 SQL = {
@@ -214,5 +227,8 @@ SELECT substr(sha256(source || ':' || sentence), 1, 16) AS id, source, sentence,
     "collection_stats": f"""SELECT collection, count(*) AS n, count(d) AS n_vectors, min(d) AS least_size, max(d) AS largest_size FROM (
   SELECT 'chunks' AS collection, len(vector) AS d FROM {_CHUNKS} UNION ALL SELECT 'section_index', len(summary_vector) FROM {_SECTIONS}
   UNION ALL SELECT 'symbol_index', len(summary_vector) FROM {_SYMBOLS}) GROUP BY collection""",
+    "keywords_in_sections": rf"""WITH w AS (SELECT DISTINCT id, regexp_replace(unnest(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}#.+]+')), '^[.#+]+|[.]+$', '', 'g') AS w FROM {_SECTIONS}),
+k AS (SELECT DISTINCT unnest(keywords) AS keyword FROM {_SECTIONS})
+SELECT keyword, count(DISTINCT id) AS n_sections, min(id) AS first_id FROM k JOIN w ON lower(keyword) = w GROUP BY keyword""",
     "documents_by_collection": "SELECT collection, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY collection",
 }
