@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import questions
-from tesserae.operators import conflicts
+from tesserae.functions.text import STOPWORDS
+from tesserae.operators import conflicts, constraints
 from tesserae.operators.code_context import directory
 from tesserae.operators.ingest import number_rows
 from tesserae.plans.lookups import _CHUNKS, _FILES, _SECTIONS, _SYMBOLS
@@ -127,6 +128,14 @@ def macro_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select(F.col("event_type").alias("name"), "rate").unionByName(every).select("name", F.round("rate", 6).alias("rate"))
 
 
+def question_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of documents' first 60 characters against the document of the next number, if there is one: whether
+    versions, years or opposites differ, and whether they share a word."""
+    a = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("q"), F.col("text").alias("t"))
+    later = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("other"))
+    return a.join(later, "doc_id").select("doc_id", constraints.mismatch(F.col("q"), F.col("other")).alias("differs"), constraints.lexical_overlap(F.col("q"), F.col("other")).alias("shares"))
+
+
 _Q = f"""q AS (SELECT id, ['{"', '".join(STARTS)}'][length(title) % {len(STARTS)} + 1] || ' ' || title AS q FROM {_SECTIONS} WHERE title IS NOT NULL),
 w AS (SELECT id, q, list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '') AS w FROM q)"""
 _SETS = f"""sets AS (SELECT payload->>'$.doc_id' AS set, row_number() OVER (PARTITION BY payload->>'$.doc_id' ORDER BY (payload->>'$.chunk_index')::INT, payload->>'$.content') AS place, payload->>'$.content' AS text
@@ -138,7 +147,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         question_features, question_entities, question_rewrites, retrieval_profile_rules, future_years, evidence_divergence, evidence_set_features, evidence_variances, evidence_times,
-        conversation_recent, hop_context, work_queue, files_not_parsed, set_recall, confusion, macro_pass_rate,
+        conversation_recent, hop_context, work_queue, files_not_parsed, set_recall, confusion, macro_pass_rate, question_mismatches,
     )
 }
 SQL = {
@@ -176,5 +185,9 @@ SELECT id, priority, row_number() OVER (ORDER BY priority, size_bytes NULLS FIRS
     "set_recall": f"""SELECT id, n, f AS n_found, round(f / n, 6) AS recall, f = n AS complete FROM (SELECT id, len(keywords) AS n, len(list_filter(keywords, lambda k: contains(lower(coalesce(content, '')), lower(k)))) AS f
   FROM {_SECTIONS} WHERE len(keywords) > 0)""",
     "confusion": "SELECT expected, actual, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS expected, event_type AS actual FROM events) WHERE expected IS NOT NULL GROUP BY ALL",
+    "question_mismatches": "WITH p AS (SELECT a.doc_id, lower(substr(a.text, 1, 60)) AS q, lower(coalesce(b.text, '')) AS t FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, coalesce("
+    + " OR ".join(f"regexp_extract(q, '({f})', 1) <> '' AND len(regexp_extract_all(t, '({f})', 1)) > 0 AND NOT list_contains(regexp_extract_all(t, '({f})', 1), regexp_extract(q, '({f})', 1))" for f in constraints.VERSIONS)
+    + "".join(f" OR contains(q, '{a}') AND NOT contains(t, '{a}') AND contains(t, '{b}')" for a, b in constraints.OPPOSITES)
+    + f", false) AS differs, coalesce(list_has_any(list_filter(regexp_extract_all(q, '[a-z]{{3,}}'), lambda x: NOT list_contains({list(STOPWORDS)}, x)), regexp_extract_all(t, '[a-z]{{3,}}')), false) AS shares FROM p",
     "macro_pass_rate": "WITH r AS (SELECT event_type AS name, avg((value > 50)::INT) AS rate FROM events GROUP BY 1) SELECT name, round(rate, 6) AS rate FROM r UNION ALL SELECT 'overall', round(avg(rate), 6) FROM r",
 }

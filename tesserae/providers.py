@@ -121,3 +121,115 @@ def rerank(hits: DataFrame, reranker: Reranker, least: int = 20) -> DataFrame:
     scored = sized.mapInArrow(run, f"{fields}, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), F.col("rank"))
     return scored.withColumn("rank", F.row_number().over(w)).drop("n")
+
+
+class Source(Protocol):
+    """Finds files: rows of (path, suffix, size, hash, content)."""
+
+    def files(self, spark) -> DataFrame: ...
+
+
+class Parser(Protocol):
+    """Texts of contents: (hash, text) of rows (hash, suffix, content)."""
+
+    version: str
+
+    def parse(self, rows: DataFrame) -> DataFrame: ...
+
+
+class Chunker(Protocol):
+    """Pieces of texts: (key, chunk_index, chunk) of rows (key, text)."""
+
+    version: str
+
+    def cut(self, rows: DataFrame) -> DataFrame: ...
+
+
+class Constraint(Protocol):
+    """What a rule says about evidence: (qid, signal, reason) of queries (qid, text) and their texts (qid, id, text)."""
+
+    def apply(self, queries: DataFrame, texts: DataFrame) -> DataFrame: ...
+
+
+class Enricher(Protocol):
+    """Further columns of rows (key, text), by key."""
+
+    def enrich(self, rows: DataFrame) -> DataFrame: ...
+
+
+class Detector(Protocol):
+    """What a question asks for: (qid, kind, detected) of queries (qid, text)."""
+
+    def detect(self, queries: DataFrame) -> DataFrame: ...
+
+
+SOURCES, PARSERS, CHUNKERS, CONSTRAINTS, ENRICHERS, DETECTORS = (Registry() for _ in range(6))
+
+
+class FolderSource:
+    """The files below a folder."""
+
+    def __init__(self, root: str, glob: str | None = None) -> None:
+        self.root, self.glob = root, glob
+
+    def files(self, spark) -> DataFrame:
+        from tesserae.sources.files import scan_files
+
+        return scan_files(spark, self.root, self.glob)
+
+
+class TextParser:
+    """Contents as UTF-8 text."""
+
+    version = "text.v1"
+
+    def parse(self, rows: DataFrame) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        return rows.select("hash", F.decode("content", "utf-8").alias("text"))
+
+
+class FunctionChunker:
+    """One of the functions of ``tesserae.operators.chunking``."""
+
+    def __init__(self, function: str, **settings) -> None:
+        self.function, self.settings = function, settings
+        self.version = "|".join([function, *(f"{k}={v}" for k, v in sorted(settings.items()))])
+
+    def cut(self, rows: DataFrame) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        from tesserae.operators import chunking
+
+        return getattr(chunking, self.function)(rows, F.col("key"), F.col("text"), **self.settings)
+
+
+SOURCES.register("folder", FolderSource)
+PARSERS.register("text", TextParser)
+CHUNKERS.register("function", FunctionChunker)
+
+
+class Timed:
+    """Any provider with its public calls counted and timed: ``calls`` maps a name to (number, seconds, failures)."""
+
+    def __init__(self, inner: object) -> None:
+        self.inner, self.calls = inner, {}
+
+    def __getattr__(self, name: str):
+        value = getattr(self.inner, name)
+        if name.startswith("_") or not callable(value):
+            return value
+
+        def call(*args, **kwargs):
+            import time
+
+            start, failed = time.perf_counter(), 1
+            try:
+                out = value(*args, **kwargs)
+                failed = 0
+                return out
+            finally:
+                n, seconds, failures = self.calls.get(name, (0, 0.0, 0))
+                self.calls[name] = (n + 1, seconds + time.perf_counter() - start, failures + failed)
+
+        return call

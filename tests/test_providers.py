@@ -40,3 +40,21 @@ def test_evidence_rules(spark):
     signals = spark.createDataFrame([(1, "disputed", 0.9), (1, "qualified", 0.5), (2, "disputed", 0.6), (2, "qualified", 0.6), (3, "abstain", None), (4, "x", None)], "k int, s string, sim double")
     assert {r["key"]: r["mode"] for r in evidence.govern(signals, "k", F.col("s"), F.col("sim")).collect()} == {1: "disputed", 2: "trustworthy", 3: "abstain", 4: "trustworthy"}
     assert evidence.citation_score("abc", "xabcx") == 1.0 and evidence.citation_score("", "x") == 0.0 and 0 < evidence.citation_score("abcd", "abxcd") < 1
+
+
+def test_sources_parsers_and_chunkers(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A\nx\n\n# B\ny\n")
+    (tmp_path / "b.txt").write_text("z")
+    files = providers.SOURCES.get("folder", root=str(tmp_path), glob="*.md").files(spark)
+    texts = providers.PARSERS.get("text").parse(files)
+    cutter = providers.CHUNKERS.get("function", function="markdown", size=100)
+    assert cutter.version == "markdown|size=100"
+    assert [r["chunk"] for r in cutter.cut(texts.withColumnRenamed("hash", "key")).orderBy("chunk_index").collect()] == ["A\nx", "B\ny"]
+
+
+def test_timed_counts_calls_and_failures():
+    chat = providers.Timed(providers.ScriptedChat(["a"]))
+    assert chat.answer([]) == "a" and chat.answers == []
+    with pytest.raises(IndexError):
+        chat.answer([])
+    assert chat.calls["answer"][0] == 2 and chat.calls["answer"][2] == 1 and chat.calls["answer"][1] >= 0
