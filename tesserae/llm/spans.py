@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tesserae.session import Scratch
 
 #: Characters hashed at once; longer texts are taken in overlapping slices.
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: Coarse keys of a boundary block.
 COARSE = 4
 #: Multipliers of the two independent hashes.
