@@ -30,6 +30,14 @@ _FORMS = tuple(
         (rf"{_NUM}\s*({'|'.join(UNITS[1:])})", "word"),
     )
 )
+#: The first two characters of the units of each form: a text in which none follows a number has no such mention.
+_BEGIN = tuple(
+    frozenset(x.split())
+    for x in ("% pe", "gb mb kb tb", "m/ km mp ft", "mi", "bi", "th", "m m/", "b b/", "k k/", "", "us eu do", "me km mi kg lb de °", " ".join(u[:2] for u in UNITS[1:]))
+)
+_FOLLOWS = re.compile(r"\d\s*(%|°|[a-z][a-z/]?)")
+#: Characters that match an ASCII letter when case is ignored.
+_ALIKE = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 #: Names of measurements by the lower-case unit without its last s; others are "measurement".
 _MEASURES = {"meter": "meters", "m/": "meters", "km/h": "speed", "mph": "speed", "km": "km", "mile": "miles", "kg": "kg", "lb": "lbs", "°c": "°c", "°f": "°f", "degree": "degree"}
 _UP = re.compile(r"\b(increased?|rises?|rising|grew|grown|growth|gains?|gained|up|higher|more|improved?|boost|jumped?|surged?|climbed?|expanded?)\b")
@@ -48,7 +56,10 @@ def _mentions(text: str | None) -> list[tuple] | None:
     if text is None:
         return None
     out = []
-    for form, kind in _FORMS:
+    follow = set(_FOLLOWS.findall((text if text.isascii() else text.translate(_ALIKE)).lower()))
+    for (form, kind), begin in zip(_FORMS, _BEGIN):
+        if not (begin & follow if begin else "$" in text):
+            continue
         for m in form.finditer(text):
             near = text[max(0, m.start() - _AROUND) : m.end() + _AROUND].lower()
             direction = "increase" if _UP.search(near) else "decrease" if _DOWN.search(near) else None
