@@ -1,13 +1,16 @@
 """The most similar vectors of every vector, by score-aware quantisation.
 
-Vectors go to the list of their nearest centroid and visit the lists of the next nearest ones. Lists have two levels, a
-centroid and the centroid of what is left, so that their number grows with the rows while the model stays small. With a
-vector travels its four-bit code, one for each two dimensions, chosen with the anisotropic loss: an error along the
-vector, which moves every high score, weighs more than one across it. In a list every home vector is a query: its
-products with the codewords are tables, and the scan adds table entries by code over all vectors there. For every vector
-the error of its code is known, so the scan keeps all that can still be among the best; those are ranked again by the
-exact cosine in double precision. A pair is found if either of the two visits the home of the other, and it counts for
-both. Only that choice of lists can lose a neighbour.
+Vectors go to the lists of their nearest centroids, always the same number of them, and all that meet in a list are
+compared: a pair is found if it shares any list, however far down its two rankings, and it counts for both. Of vectors
+without groups larger than a list this loses about one neighbour in 200 with thousands of lists, where meeting in the
+nearest list of one of the two loses one in six. The number of lists grows with the rows; when the sample for fitting
+has no room for more centroids the lists grow, and later they get a second level, the centroids of what is left.
+
+With a vector travels its four-bit code, one for each two dimensions, chosen with the anisotropic loss: an error along
+the vector, which moves every high score, weighs more than one across it. In a list the products of all vectors with the
+decoded codes are scanned. For every vector the error of its code is known, so the scan keeps all that can still be
+among the best; those are ranked again by the exact cosine in double precision. Only the choice of lists can lose a
+neighbour.
 
 A list of very many rows is cut into blocks of queries and blocks of members, and each block of the one meets each of
 the other in its own group; groups hold a bounded number of rows.
@@ -30,16 +33,20 @@ from pyspark.sql import functions as F
 from tesserae.session import Scratch
 
 #: Rows of a kind for fitting (documented bound), of them those for the codewords, and rows aimed at in a list.
-FIT_ROWS, CODE_ROWS, LIST_ROWS = 24_000, 6_000, 256
+FIT_ROWS, CODE_ROWS, LIST_ROWS = 24_000, 6_000, 2_048
 #: At least so many fitting rows for each centroid: bounds the centroids of a level by FIT_ROWS / 8, the lists by its
 #: square.
 ROWS_PER_CENTROID = 8
+#: Lists grow to so many times LIST_ROWS before there is a second level, which parts more neighbours than the first.
+GROWN = 4
 #: Rows of a block of queries and of a block of members; lists within both are one group.
-QUERY_BLOCK, MEMBER_BLOCK = 4_096, 16_384
+QUERY_BLOCK, MEMBER_BLOCK = 65_536, 65_536
 #: Queries and members multiplied at once.
 TILE_QUERIES, TILE_MEMBERS = 512, 2_048
-#: Lists a vector goes to, its home included.
-LISTS = 4
+#: Pairs found before they are merged into the best so far, if those are not more.
+PENDING = 65_536
+#: Lists a vector goes to.
+LISTS = 5
 #: Weight of the error along the vector against that across it, from the published rule (d - 1) t^2 / (1 - t^2).
 ALIGNED_SCORE = 0.2
 
@@ -127,29 +134,13 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
 
-def tables(queries: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """(bytes, 256, queries): the products of each query with the codewords that a byte of two codes stands for."""
-    parts = queries.reshape(len(queries), words.shape[0], -1).astype(np.float32)
-    each = np.einsum("swd,qsd->swq", words.astype(np.float32), parts)
-    if len(each) % 2:
-        each = np.concatenate([each, np.zeros_like(each[:1])])
-    return (each[1::2, :, None] + each[0::2, None]).reshape(len(each) // 2, 256, len(queries))
-
-
-def scan_packed(entries: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """Approximate products (rows, queries): sums of table entries chosen by four-bit codes."""
-    out = np.zeros((len(packed), entries.shape[2]), np.float32)
-    part = np.empty((256, entries.shape[2]), np.float32)
-    for at in range(0, len(packed), 256):
-        rows = packed[at : at + 256]
-        for byte in range(len(entries)):
-            out[at : at + 256] += entries[byte].take(rows[:, byte], axis=0, out=part[: len(rows)], mode="clip")
-    return out
+def unpack(packed: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)[:, :n]
 
 
 def scan(queries: np.ndarray, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Approximate products (rows, queries) of queries and codes."""
-    return scan_packed(tables(queries, words), pack(codes))
+    return decode(codes, words).astype(np.float32) @ queries.astype(np.float32).T
 
 
 def similar_vectors(df: DataFrame, kind: Column, key: Column, vector: Column, k: int = 10, floor: float = 0.85, dims: int = 64, lists: int | None = None) -> DataFrame:
@@ -170,10 +161,10 @@ def similar_vectors(df: DataFrame, kind: Column, key: Column, vector: Column, k:
 
     model = _fit(stored, dims, lists or LISTS, floor)
     shared = spark.sparkContext.broadcast(model)
-    counted = chosen.mapInArrow(_place(shared, dims, False), "kind string, list bigint, home boolean")
-    sizes = counted.groupBy("kind", "list").agg(F.count_if("home").alias("queries"), F.count(F.lit(1)).alias("rows"))
-    large = work.put(sizes.where((F.col("queries") > QUERY_BLOCK) | (F.col("rows") > MEMBER_BLOCK)), "large")
-    placed = chosen.mapInArrow(_place(shared, dims, True), "kind string, list bigint, home boolean, id string, vector binary, code binary, slack float")
+    counted = chosen.mapInArrow(_place(shared, dims, False), "kind string, list bigint")
+    sizes = counted.groupBy("kind", "list").agg(F.count(F.lit(1)).alias("rows"))
+    large = work.put(sizes.where(F.col("rows") > min(QUERY_BLOCK, MEMBER_BLOCK)), "large")
+    placed = chosen.mapInArrow(_place(shared, dims, True), "kind string, list bigint, id string, vector binary, code binary, slack float")
     grouped = _blocks(placed.join(large, ["kind", "list"], "left"))
     found = grouped.groupBy("kind", "list", "q", "m").applyInArrow(_scan_group(shared, dims, k, floor), "kind string, id string, neighbor_id string, cosine double")
     best = _top(found.groupBy("kind", "id", "neighbor_id").agg(F.max("cosine").alias("cosine")), k)
@@ -210,15 +201,15 @@ def _store(dims: int):
 
 def _blocks(placed: DataFrame) -> DataFrame:
     """Each row once for every group it is in: as a query (role 1), a member (2) or both (3)."""
-    n_q, n_m = (F.coalesce(F.ceil(F.col(c) / size), F.lit(1)).cast("int") for c, size in (("queries", QUERY_BLOCK), ("rows", MEMBER_BLOCK)))
+    n_q, n_m = (F.ceil(F.col("rows") / size).cast("int") for size in (QUERY_BLOCK, MEMBER_BLOCK))
     q, m = F.pmod(F.xxhash64("id"), n_q).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), n_m).cast("int")
     each = lambda n: F.sequence(F.lit(0), n - 1)
     group = lambda q, m, role: F.struct(q.alias("q"), m.alias("m"), role.cast("int").alias("role"))
     queries = F.transform(each(n_m), lambda b: group(q, b, F.when(b == m, 3).otherwise(1)))
     members = F.transform(each(n_q), lambda b: group(b, m, F.lit(2)))
-    groups = F.when(F.col("queries").isNull(), F.array(group(F.lit(0), F.lit(0), F.when(F.col("home"), 3).otherwise(2))))
-    groups = groups.when(F.col("home"), F.concat(queries, F.filter(members, lambda g: g["q"] != q))).otherwise(members)
-    return placed.withColumn("group", F.explode(groups)).select("kind", "list", "group.q", "group.m", "group.role", "home", "id", "vector", "code", "slack")
+    whole = F.array(group(F.lit(0), F.lit(0), F.lit(3)))
+    groups = F.when(F.col("rows").isNull(), whole).otherwise(F.concat(queries, F.filter(members, lambda g: g["q"] != q)))
+    return placed.withColumn("group", F.explode(groups)).select("kind", "list", "group.q", "group.m", "group.role", "id", "vector", "code", "slack")
 
 
 def _fit(stored: DataFrame, dims: int, lists: int, floor: float) -> dict:
@@ -238,7 +229,7 @@ def _fit(stored: DataFrame, dims: int, lists: int, floor: float) -> dict:
         wanted, most = -(-n // LIST_ROWS), max(1, len(x) // ROWS_PER_CENTROID)
         first = centroids(x.astype(np.float32), max(1, min(wanted, most)))
         rest = x - first[(x @ first.T).argmax(axis=1)]
-        second = residual_centroids(rest.astype(np.float32), min(-(-wanted // len(first)), most))
+        second = residual_centroids(rest.astype(np.float32), min(-(-n // (GROWN * LIST_ROWS * len(first))), most))
         model[kind] = (first, second, codewords(x[:CODE_ROWS], eta).astype(np.float32))
     return model
 
@@ -289,10 +280,10 @@ def _place(shared, dims: int, whole: bool):
                     vectors = batch.column(2).take(own)
                     x = unit(np.frombuffer(b"".join(vectors.to_pylist()), np.float32).reshape(-1, dims))
                     first, second, words = model[kind]
-                    to, home = nearest_lists(x.astype(np.float32), first, second, model["lists"])
+                    to, _ = nearest_lists(x.astype(np.float32), first, second, model["lists"])
                     rows = pa.array(np.repeat(np.arange(len(x)), to.shape[1]))
-                    columns = [pa.array([kind] * len(rows), pa.string()), pa.array(to.ravel()), pa.array(home.ravel())]
-                    names = ["kind", "list", "home"]
+                    columns = [pa.array([kind] * len(rows), pa.string()), pa.array(to.ravel())]
+                    names = ["kind", "list"]
                     if whole:
                         words = words.astype(np.float64)
                         codes = encode(x, words, model["eta"])
@@ -309,13 +300,13 @@ def _place(shared, dims: int, whole: bool):
 
 
 def _scan_group(shared, dims: int, k: int, floor: float):
-    """Of one group: for every query its best members, and for every visiting member its best queries."""
+    """Of one group the best members of every query; in a list that is one group each pair is looked at once, for both."""
 
     def run(rows: pa.Table) -> pa.Table:
         model = shared.value
         kind = rows.column("kind")[0].as_py()
         words = model[kind][2]
-        role, home = np.asarray(rows.column("role")), np.asarray(rows.column("home"))
+        role = np.asarray(rows.column("role"))
         ids = np.asarray(rows.column("id").to_pylist(), object)
         x = unit(np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, dims))
         packed = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
@@ -323,33 +314,41 @@ def _scan_group(shared, dims: int, k: int, floor: float):
         rank = np.empty(len(ids), np.int64)
         rank[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
         queries, members = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        both = bool((role == 3).all())
+        # one more dimension adds the error of the code to the product with it
+        asked = np.concatenate([x[queries], np.ones((len(queries), 1))], axis=1).astype(np.float32)
+        coded = np.concatenate([decode(unpack(packed[members], len(words)), words), slack[members, None]], axis=1).astype(np.float32)
         least = np.full(len(x), floor)  # what a partner must reach: the k-th best so far, if there are as many
-        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        best, pending, n_pending = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), [], 0
         for b in range(0, len(queries), TILE_QUERIES):
             q = queries[b : b + TILE_QUERIES]
-            entries = tables(x[q], words)
-            for a in range(0, len(members), TILE_MEMBERS):
+            for a in range(b if both else 0, len(members), TILE_MEMBERS):
                 m = members[a : a + TILE_MEMBERS]
-                needed = np.minimum(least[q][None, :], np.where(home[m], np.inf, least[m])[:, None])
-                kept = scan_packed(entries, packed[m]) + slack[m][:, None] >= needed
+                reach = coded[a : a + TILE_MEMBERS] @ asked[b : b + TILE_QUERIES].T
+                kept = reach >= np.float32(floor)
+                if np.count_nonzero(kept) * 16 > kept.size:
+                    needed = np.minimum(least[q][None, :], least[m][:, None]) if both else np.broadcast_to(least[q], kept.shape)
+                    kept &= reach >= needed
                 if np.count_nonzero(kept) * 16 > kept.size:
                     exact = np.round(x[m] @ x[q].T, 12)
-                    exact[m[:, None] == q[None, :]] = -2
+                    exact[m[:, None] <= q[None, :] if both else m[:, None] == q[None, :]] = -2
                     i, j = np.nonzero(kept & (exact >= _reached(exact, needed, k)))
                     score = exact[i, j]
                 else:
-                    i, j = np.nonzero(kept)
-                    i, j = i[m[i] != q[j]], j[m[i] != q[j]]
-                    score = np.round(np.einsum("ij,ij->i", x[m[i]], x[q[j]]), 12) if len(i) else np.empty(0)
+                    i, j = np.divmod(np.flatnonzero(kept), kept.shape[1])
+                    apart = m[i] > q[j] if both else m[i] != q[j]
+                    i, j = i[apart], j[apart]
+                    score = np.round(np.einsum("ij,ij->i", x[m[i]], x[q[j]]), 12)
                 i, j = m[i], q[j]
-                to_query, to_visitor = score >= least[j], (score >= least[i]) & ~home[i]
-                new = (np.r_[j[to_query], i[to_visitor]], np.r_[i[to_query], j[to_visitor]], np.r_[score[to_query], score[to_visitor]])
-                if len(new[0]):
-                    best = _best(*(np.concatenate(c) for c in zip(best, new)), rank, k)
+                to_query, to_member = score >= least[j], (score >= least[i]) & both
+                pending.append((np.r_[j[to_query], i[to_member]], np.r_[i[to_query], j[to_member]], np.r_[score[to_query], score[to_member]]))
+                n_pending += len(pending[-1][0])
+                if n_pending >= max(PENDING, len(best[0])):
+                    best, pending, n_pending = _best(*(np.concatenate(c) for c in zip(best, *pending)), rank, k), [], 0
                     owner, first, count = np.unique(best[0], return_index=True, return_counts=True)
                     full = count == k
                     least[owner[full]] = np.maximum(floor, best[2][first[full] + k - 1])
-        i, j, score = best
+        i, j, score = _best(*(np.concatenate(c) for c in zip(best, *pending)), rank, k)
         return pa.table({"kind": pa.array([kind] * len(i), pa.string()), "id": pa.array(ids[i], pa.string()), "neighbor_id": pa.array(ids[j], pa.string()), "cosine": pa.array(score, pa.float64())})
 
     return run
