@@ -164,10 +164,10 @@ def similar_vectors(df: DataFrame, kind: Column, key: Column, vector: Column, k:
     counted = chosen.mapInArrow(_place(shared, dims, False), "kind string, list bigint")
     sizes = counted.groupBy("kind", "list").agg(F.count(F.lit(1)).alias("rows"))
     large = work.put(sizes.where(F.col("rows") > min(QUERY_BLOCK, MEMBER_BLOCK)), "large")
-    placed = chosen.mapInArrow(_place(shared, dims, True), "kind string, list bigint, id string, vector binary, code binary, slack float")
+    placed = chosen.mapInArrow(_place(shared, dims, True), "kind string, list bigint, id string, vector binary, code binary, slack float, lists binary")
     grouped = _blocks(placed.join(large, ["kind", "list"], "left"))
     found = grouped.groupBy("kind", "list", "q", "m").applyInArrow(_scan_group(shared, dims, k, floor), "kind string, id string, neighbor_id string, cosine double")
-    best = _top(found.groupBy("kind", "id", "neighbor_id").agg(F.max("cosine").alias("cosine")), k)
+    best = _top(found, k)
 
     # equal vectors: of a neighbour's class the k + 1 smallest ids can count, for a class itself all its members do
     w = Window.partitionBy("kind", "rep").orderBy("id")
@@ -209,7 +209,7 @@ def _blocks(placed: DataFrame) -> DataFrame:
     members = F.transform(each(n_q), lambda b: group(b, m, F.lit(2)))
     whole = F.array(group(F.lit(0), F.lit(0), F.lit(3)))
     groups = F.when(F.col("rows").isNull(), whole).otherwise(F.concat(queries, F.filter(members, lambda g: g["q"] != q)))
-    return placed.withColumn("group", F.explode(groups)).select("kind", "list", "group.q", "group.m", "group.role", "id", "vector", "code", "slack")
+    return placed.withColumn("group", F.explode(groups)).select("kind", "list", "group.q", "group.m", "group.role", "id", "vector", "code", "slack", "lists")
 
 
 def _fit(stored: DataFrame, dims: int, lists: int, floor: float) -> dict:
@@ -292,8 +292,9 @@ def _place(shared, dims: int, whole: bool):
                         slack = np.stack([np.abs(along), np.linalg.norm(error - along[:, None] * x, axis=1)])
                         slack = (slack[0] + model["across"] * slack[1] + 1e-5).astype(np.float32)
                         code = pa.array([c.tobytes() for c in pack(codes)], pa.binary())
-                        columns += [c.take(rows) for c in (batch.column(1).take(own), vectors, code, pa.array(slack))]
-                        names += ["id", "vector", "code", "slack"]
+                        lists = pa.array([t.tobytes() for t in to.astype(np.int32)], pa.binary())
+                        columns += [c.take(rows) for c in (batch.column(1).take(own), vectors, code, pa.array(slack), lists)]
+                        names += ["id", "vector", "code", "slack", "lists"]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -311,6 +312,7 @@ def _scan_group(shared, dims: int, k: int, floor: float):
         x = unit(np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, dims))
         packed = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
         slack = np.asarray(rows.column("slack"))
+        lists = np.frombuffer(b"".join(rows.column("lists").to_pylist()), np.int32).reshape(len(x), -1)
         rank = np.empty(len(ids), np.int64)
         rank[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
         queries, members = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
@@ -349,6 +351,10 @@ def _scan_group(shared, dims: int, k: int, floor: float):
                     full = count == k
                     least[owner[full]] = np.maximum(floor, best[2][first[full] + k - 1])
         i, j, score = _best(*(np.concatenate(c) for c in zip(best, *pending)), rank, k)
+        # one of the k best of all is one of the k best in every list that both are in: the first of those gives it
+        common = (lists[i][:, :, None] == lists[j][:, None, :]).any(axis=2)
+        given = np.where(common, lists[i], np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max) == rows.column("list")[0].as_py()
+        i, j, score = i[given], j[given], score[given]
         return pa.table({"kind": pa.array([kind] * len(i), pa.string()), "id": pa.array(ids[i], pa.string()), "neighbor_id": pa.array(ids[j], pa.string()), "cosine": pa.array(score, pa.float64())})
 
     return run
